@@ -96,7 +96,7 @@ def _rank_key(score: np.ndarray, descending: bool, digits: int | None) -> np.nda
 def dense_topk(df: DataFrame, id_col: str, num_cols: list[str], cat_cols: list[str],
                k: int | None, measure: str = "cosine_distance", include_self: bool = False,
                rank_digits: int | None = 9, block_rows: int = 2048,
-               n_items: int | None = None) -> DataFrame:
+               n_items: int | None = None, group_col: str | None = None) -> DataFrame:
     """Exact top-k neighbours of every row under cosine similarity of the
     vector ``num_cols ++ one_hot(cat_cols)``.
 
@@ -108,13 +108,26 @@ def dense_topk(df: DataFrame, id_col: str, num_cols: list[str], cat_cols: list[s
     """
     spark = df.sparkSession
     descending = measure == "cosine"
-    n = n_items if n_items is not None else df.select(id_col).count()
-    nb = n_blocks(spark, n, block_rows)
     base = df.select(F.col(id_col).cast("long").alias("_id"),
                      *[F.col(c).cast("double").alias(c) for c in num_cols],
-                     *[F.col(c).cast("string").alias(c) for c in cat_cols])
-    base = base.withColumn("_b", block_of("_id", nb))
-    pairs = to_block_pairs(base, "_b", nb)
+                     *[F.col(c).cast("string").alias(c) for c in cat_cols],
+                     (F.col(group_col).cast("long") if group_col else F.lit(0).cast("long")).alias("_g"))
+    if group_col is None:
+        n = n_items if n_items is not None else df.select(id_col).count()
+        nb = n_blocks(spark, n, block_rows)
+        base = base.withColumn("_b", block_of("_id", nb))
+        pairs = to_block_pairs(base, "_b", nb)
+    else:
+        # Only rows of the same group are compared; each group gets its own
+        # number of blocks from its size, so a big group is split into
+        # bounded block pairs and small groups stay one task each.
+        sizes = base.groupBy("_g").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)))
+                                       .cast("int").alias("_nb"))
+        base = base.join(sizes, "_g")
+        base = base.withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
+        j = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_j")
+        pairs = (base.select("*", j)
+                 .withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j")).drop("_j"))
 
     def score_block(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(pdf["_lo"].iat[0]), int(pdf["_hi"].iat[0])
@@ -143,9 +156,13 @@ def dense_topk(df: DataFrame, id_col: str, num_cols: list[str], cat_cols: list[s
             outs.append(_local_topk(key.T, raw.T, idb, ida, k, not include_self))
         return pd.concat(outs, ignore_index=True)
 
-    cols = ["_id", "_b", "_lo", "_hi", *num_cols, *cat_cols]
-    local = (pairs.select(*cols).groupBy("_lo", "_hi")
+    cols = ["_g", "_id", "_b", "_lo", "_hi", *num_cols, *cat_cols]
+    local = (pairs.select(*cols).groupBy("_g", "_lo", "_hi")
              .applyInPandas(score_block, "e1 long, e2 long, score double, _key double"))
+    if group_col is not None:
+        # a pair can meet in several groups (e.g. LSH tables): keep it once
+        local = local.groupBy("e1", "e2").agg(F.min_by("score", "_key").alias("score"),
+                                              F.min("_key").alias("_key"))
     return _final_topk(local, k)
 
 
@@ -284,3 +301,68 @@ def sparse_topk(long_df: DataFrame, entity: str, dim: str, value: str, k: int |
               .select("e1", "e2", (F.col("dot") / (F.col("_n1") * F.col("_n2"))).alias("score")))
     scored = scored.withColumn("_key", -F.col("score"))
     return _final_topk(scored, k)
+
+
+# --------------------------------------------------------------------------
+# bipartite: left vectors x right vectors (e.g. user factors x item factors)
+
+def bipartite_topk(left: DataFrame, right: DataFrame, id_col: str, vec_col: str, k: int,
+                   exclude: DataFrame | None = None, block_rows: int = 2048,
+                   n_left: int | None = None, n_right: int | None = None) -> DataFrame:
+    """Exact top-k right rows per left row by dot product (descending, ties by
+    right id), skipping the (left, right) pairs listed in ``exclude``
+    (columns l, r).  ``left``/``right``: (id_col, vec_col array<float|double>).
+
+    Left rows are hashed into Bl blocks and right rows into Br blocks; each
+    (left block, right block) cell is one group holding both blocks' vectors
+    plus the excluded pairs that fall into the cell, so a cell is bounded by
+    the block sizes.  Returns (l, r, score, rank)."""
+    spark = left.sparkSession
+    nl = n_left if n_left is not None else left.count()
+    nr = n_right if n_right is not None else right.count()
+    par = max(1, spark.sparkContext.defaultParallelism)
+    bl = max(1, math.ceil(nl / block_rows))
+    br = max(1, math.ceil(nr / block_rows), math.ceil(2 * par / bl))
+    br = min(br, max(1, nr))
+    L = left.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
+    R = right.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
+    L = L.select(F.lit(0).alias("_side"), "_id", "_v", block_of("_id", bl, 3).alias("_bl"),
+                 F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("_br"))
+    R = R.select(F.lit(1).alias("_side"), "_id", "_v",
+                 F.explode(F.sequence(F.lit(0), F.lit(bl - 1))).alias("_bl"), block_of("_id", br, 5).alias("_br"))
+    parts = [L.withColumn("_x", F.lit(None).cast("long")), R.withColumn("_x", F.lit(None).cast("long"))]
+    if exclude is not None:
+        ex = exclude.select(F.lit(2).alias("_side"), F.col("l").cast("long").alias("_id"),
+                            F.lit(None).cast("array<double>").alias("_v"),
+                            block_of("l", bl, 3).alias("_bl"), block_of("r", br, 5).alias("_br"),
+                            F.col("r").cast("long").alias("_x"))
+        parts.append(ex)
+    allrows = parts[0].unionByName(parts[1])
+    for p in parts[2:]:
+        allrows = allrows.unionByName(p)
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf[pdf["_side"] == 0].sort_values("_id", kind="stable")
+        b = pdf[pdf["_side"] == 1].sort_values("_id", kind="stable")
+        if len(a) == 0 or len(b) == 0:
+            return pd.DataFrame({"e1": [], "e2": [], "score": [], "_key": []}).astype(
+                {"e1": "int64", "e2": "int64", "score": "float64", "_key": "float64"})
+        xa = np.vstack(a["_v"].to_numpy())
+        xb = np.vstack(b["_v"].to_numpy())
+        S = xa @ xb.T
+        key = -S
+        ida = a["_id"].to_numpy("int64")
+        idb = b["_id"].to_numpy("int64")
+        ex = pdf[pdf["_side"] == 2]
+        if len(ex):
+            ri = np.searchsorted(ida, ex["_id"].to_numpy("int64"))
+            ci = np.searchsorted(idb, ex["_x"].to_numpy("int64"))
+            okr = (ri < len(ida)) & (ci < len(idb))
+            ri, ci = ri[okr], ci[okr]
+            hit = (ida[ri] == ex["_id"].to_numpy("int64")[okr]) & (idb[ci] == ex["_x"].to_numpy("int64")[okr])
+            key[ri[hit], ci[hit]] = _KEY_INF
+        return _local_topk(key, S, ida, idb, k, False)
+
+    local = allrows.groupBy("_bl", "_br").applyInPandas(cell, "e1 long, e2 long, score double, _key double")
+    out = _final_topk(local, k)
+    return out.select(F.col("e1").alias("l"), F.col("e2").alias("r"), "score", "rank")

@@ -1,4 +1,4 @@
-"""Similarity and neighbour search.
+"""Similarity and neighbour search.
 
 All exact all-pairs work goes through the blocked engine in
 ``reco.operators.blocks`` (bounded block-pair groups, numpy matrix products,
@@ -55,11 +55,31 @@ def vector_similarity(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     return r.select(F.col("e1").alias("id1"), F.col("e2").alias("id2"), "score", "rank")
 
 
-def user_affinity(coefs: DataFrame, item_vectors: DataFrame) -> DataFrame:
-    """K5: affinity 2(1 - x.coef) of each user model to each item, coef not
-    normalised.  ``coefs`` long (user_id, dim, coef); ``item_vectors`` long
-    (id, dim, value).  Only (user, item) pairs the caller asks for should be
-    passed in ``item_vectors`` joined with a pair list (see classify)."""
-    j = coefs.join(item_vectors, "dim")
-    return (j.groupBy("user_id", F.col("id").alias("item_id"))
-             .agg((2 * (1 - F.sum(F.col("coef") * F.col("value")))).alias("affinity")))
+def ann_neighbors(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
+                  num_tables: int = 10, bucket_length: float = 0.5, seed: int = 0,
+                  block_rows: int = 1024) -> DataFrame:
+    """K4: approximate nearest neighbours (the reference's 10-tree index).
+
+    Unit vectors are hashed by ``BucketedRandomProjectionLSH`` into
+    ``num_tables`` tables; candidates are the vectors sharing a bucket in any
+    table, scored exactly inside the bucket by the blocked engine (a large
+    bucket is split into bounded block pairs, never listed pair by pair).
+    Euclidean distance on unit vectors is sqrt(2(1 - cos)), the angular
+    metric.  Returns (id1, id2, score=cosine, distance, rank)."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    v = vectors.select(F.col(id_col).alias("_vid"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("_raw"))
+    v = Normalizer(inputCol="_raw", outputCol="_u", p=2.0).transform(v)
+    lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", numHashTables=num_tables,
+                                      bucketLength=bucket_length, seed=seed).fit(v)
+    h = lsh.transform(v)
+    n = h.select(F.max(F.size(vector_to_array("_u")))).first()[0] or 0
+    arr = vector_to_array("_u")
+    x = h.select("_vid", arr.alias("_a"), F.posexplode("_h").alias("_t", "_hv"))
+    x = x.select("_vid", "_a", (F.col("_t").cast("long") * F.lit(1 << 32)
+                                + vector_to_array("_hv")[0].cast("long")).alias("_bucket"))
+    flat = x.select("_vid", "_bucket", *[F.col("_a")[i].alias(f"_x{i}") for i in range(n)])
+    r = blocks.dense_topk(flat, "_vid", [f"_x{i}" for i in range(n)], [], k, measure="cosine",
+                          rank_digits=9, block_rows=block_rows, group_col="_bucket")
+    return r.select(F.col("e1").alias("id1"), F.col("e2").alias("id2"), "score",
+                    F.sqrt(F.greatest(F.lit(0.0), 2 * (1 - F.col("score")))).alias("distance"), "rank")
