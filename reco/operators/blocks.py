@@ -64,6 +64,9 @@ def _local_topk(key: np.ndarray, raw: np.ndarray, row_ids: np.ndarray, col_ids:
                 k: int | None, exclude_self: bool) -> pd.DataFrame:
     """Top-k per row of ``key`` (smaller is better; +inf = not a candidate),
     ties by column id (columns are sorted by id, the sort is stable)."""
+    if key.shape[0] == 0 or key.shape[1] == 0:
+        return pd.DataFrame({"e1": np.array([], "int64"), "e2": np.array([], "int64"),
+                             "score": np.array([], "float64"), "_key": np.array([], "float64")})
     key = key.copy()
     if exclude_self:
         pos = np.searchsorted(col_ids, row_ids)
@@ -332,10 +335,12 @@ def bipartite_topk(left: DataFrame, right: DataFrame, id_col: str, vec_col: str,
                  F.explode(F.sequence(F.lit(0), F.lit(bl - 1))).alias("_bl"), block_of("_id", br, 5).alias("_br"))
     parts = [L.withColumn("_x", F.lit(None).cast("long")), R.withColumn("_x", F.lit(None).cast("long"))]
     if exclude is not None:
-        ex = exclude.select(F.lit(2).alias("_side"), F.col("l").cast("long").alias("_id"),
-                            F.lit(None).cast("array<double>").alias("_v"),
-                            block_of("l", bl, 3).alias("_bl"), block_of("r", br, 5).alias("_br"),
-                            F.col("r").cast("long").alias("_x"))
+        # hash the same (long) values as the vector rows, so pairs land in their cell
+        ex = exclude.select(F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))
+        ex = ex.select(F.lit(2).alias("_side"), F.col("l").alias("_id"),
+                       F.lit(None).cast("array<double>").alias("_v"),
+                       block_of("l", bl, 3).alias("_bl"), block_of("r", br, 5).alias("_br"),
+                       F.col("r").alias("_x"))
         parts.append(ex)
     allrows = parts[0].unionByName(parts[1])
     for p in parts[2:]:
