@@ -78,6 +78,19 @@ def _local_topk(key: np.ndarray, raw: np.ndarray, row_ids: np.ndarray, col_ids:
     if kk == 0 or key.shape[0] == 0:
         return pd.DataFrame({"e1": np.array([], "int64"), "e2": np.array([], "int64"),
                              "score": np.array([], "float64"), "_key": np.array([], "float64")})
+    finite = np.isfinite(key)
+    if finite.mean() < 0.25:
+        # sparse cell: sort only the candidates, by (row, key, column id)
+        r, c = np.nonzero(finite)
+        kv = key[r, c]
+        o = np.lexsort((c, kv, r))
+        r, c, kv = r[o], c[o], kv[o]
+        starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+        pos = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
+        m = pos < kk
+        r, c, kv = r[m], c[m], kv[m]
+        return pd.DataFrame({"e1": row_ids[r].astype("int64"), "e2": col_ids[c].astype("int64"),
+                             "score": raw[r, c].astype("float64"), "_key": kv.astype("float64")})
     order = np.argsort(key, axis=1, kind="stable")[:, :kk]
     sel = np.take_along_axis(key, order, axis=1)
     keep = np.isfinite(sel)
@@ -371,3 +384,250 @@ def bipartite_topk(left: DataFrame, right: DataFrame, id_col: str, vec_col: str,
     local = allrows.groupBy("_bl", "_br").applyInPandas(cell, "e1 long, e2 long, score double, _key double")
     out = _final_topk(local, k)
     return out.select(F.col("e1").alias("l"), F.col("e2").alias("r"), "score", "rank")
+
+
+# --------------------------------------------------------------------------
+# sparse bipartite product: predictions num/den = (L . R) / (|L| . |R|)
+
+def _accumulate_multi(li, ld, ri, rd, a: int, b: int, weights, max_pairs: int = 4_000_000,
+                     sparse_ok: bool = False):
+    """Like ``_accumulate`` but folds several (left weight, right weight)
+    products over the same generated pairs: returns one a x b matrix each.
+    With ``sparse_ok`` the result is tagged: ("dense", [matrices]) or, when the
+    generated pairs touch under 1/8 of the cell, ("sparse", linear indices,
+    [sums])."""
+    outs = [np.zeros(a * b, dtype="float64") for _ in weights]
+    if len(li) == 0 or len(ri) == 0 or a == 0 or b == 0:
+        if sparse_ok:
+            return ("sparse", np.array([], "int64"), [np.array([], "float64") for _ in weights])
+        return [o.reshape(a, b) for o in outs]
+    lo_ = np.argsort(ld, kind="stable")
+    ro_ = np.argsort(rd, kind="stable")
+    li, ld = li[lo_], ld[lo_]
+    ri, rd = ri[ro_], rd[ro_]
+    weights = [(lw[lo_], rw[ro_]) for lw, rw in weights]
+    dl, sl, cl = np.unique(ld, return_index=True, return_counts=True)
+    dr, sr, cr = np.unique(rd, return_index=True, return_counts=True)
+    _, il, ir = np.intersect1d(dl, dr, assume_unique=True, return_indices=True)
+    if len(il) == 0:
+        if sparse_ok:
+            return ("sparse", np.array([], "int64"), [np.array([], "float64") for _ in weights])
+        return [o.reshape(a, b) for o in outs]
+    sl, cl, sr, cr = sl[il], cl[il], sr[ir], cr[ir]
+    npairs = cl * cr
+    total = int(npairs.sum())
+    sparse = sparse_ok and total * 8 < a * b
+
+    def gen(g):
+        cnt = npairs[g]
+        rep = np.repeat(np.arange(len(g)), cnt)
+        first = np.concatenate(([0], np.cumsum(cnt)[:-1]))
+        t = np.arange(int(cnt.sum())) - first[rep]
+        crr = cr[g][rep]
+        lrow = sl[g][rep] + t // crr
+        rrow = sr[g][rep] + t % crr
+        return li[lrow] * b + ri[rrow], lrow, rrow
+
+    if sparse:
+        # few touched entries: accumulate only those (total < a*b/8 pairs)
+        lin, lrow, rrow = gen(np.arange(len(npairs)))
+        uniq, inv = np.unique(lin, return_inverse=True)
+        sums = [np.bincount(inv, weights=lw[lrow] * rw[rrow], minlength=len(uniq)) for lw, rw in weights]
+        return ("sparse", uniq, sums)
+    cap = max(max_pairs, int(npairs.max()))
+    bounds = np.cumsum(npairs)
+    start = 0
+    while start < len(npairs):
+        base = bounds[start - 1] if start > 0 else 0
+        end = max(int(np.searchsorted(bounds, base + cap, side="right")), start + 1)
+        lin, lrow, rrow = gen(np.arange(start, end))
+        for o, (lw, rw) in zip(outs, weights):
+            o += np.bincount(lin, weights=lw[lrow] * rw[rrow], minlength=a * b)
+        start = end
+    res = [o.reshape(a, b) for o in outs]
+    return ("dense", res) if sparse_ok else res
+
+
+def _choose_blocks(n_l: int, n_r: int, rows_l: int, rows_r: int, max_cell: int, par: int) -> tuple[int, int]:
+    """Block counts (BL, BR) minimising the replicated rows
+    rows_l*BR + rows_r*BL with a dense cell of at most ``max_cell`` entries
+    and at least 2 x parallelism cells."""
+    best = None
+    for bl in range(1, max(1, min(n_l, 4096)) + 1):
+        br = max(1, math.ceil(math.ceil(n_l / bl) * n_r / max_cell))
+        br = min(max(br, math.ceil(2 * par / bl)), max(1, n_r))
+        cost = rows_l * br + rows_r * bl
+        if best is None or cost < best[0]:
+            best = (cost, bl, br)
+    return best[1], best[2]
+
+
+def sparse_product(left: DataFrame, right: DataFrame, pairs: DataFrame, mode: str, n: int | None = None,
+                   den_left_abs: bool = False, den_right_abs: bool = True, max_cell: int = 4_000_000,
+                   max_task_rows: int = 4_000_000, force_dim_slices: int | None = None) -> DataFrame:
+    """pred[l, r] = sum_d v*w / sum_d f(v)*g(w) over shared dims d, where
+    num > 0 (f, g = |x| or presence).
+
+    ``left`` (l, d, v), ``right`` (r, d, w), ``pairs`` (l, r, a): the known
+    (l, r) pairs with their value.  ``mode``:
+      * "unseen_topn": per l, the n best r not in ``pairs`` by
+        (round(pred, 9) desc, r) -> (l, r, pred, rank)
+      * "seen": pairs with a prediction -> (l, r, pred, a)
+      * "all": every prediction -> (l, r, pred)
+    Cells (left block x right block) hold bounded row sets; when one block is
+    too large (a hot entity) the shared dimension is sliced and partial sums
+    are aggregated by Spark before the top-n."""
+    spark = left.sparkSession
+    L = left.select(F.col("l").cast("long").alias("l"), F.col("d").cast("long").alias("d"),
+                    F.col("v").cast("double").alias("v"))
+    R = right.select(F.col("r").cast("long").alias("r"), F.col("d").cast("long").alias("d"),
+                     F.col("w").cast("double").alias("w"))
+    P = pairs.select(F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"),
+                     F.col("a").cast("double").alias("a"))
+    # Materialise both operands once (reliable checkpoint into the shared
+    # folder): the sizing passes below and the product then read them instead
+    # of recomputing their lineage (e.g. a whole similarity job).
+    from reco.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    L = L.checkpoint(eager=True)
+    R = R.checkpoint(eager=True)
+    sl = L.agg(F.approx_count_distinct("l").alias("n"), F.count(F.lit(1)).alias("c")).first()
+    sr = R.agg(F.approx_count_distinct("r").alias("n"), F.count(F.lit(1)).alias("c")).first()
+    par = max(1, spark.sparkContext.defaultParallelism)
+    bl, br = _choose_blocks(int(sl["n"] or 1), int(sr["n"] or 1), int(sl["c"] or 0), int(sr["c"] or 0),
+                            max_cell, par)
+    L = L.withColumn("_bl", block_of("l", bl, 3))
+    R = R.withColumn("_br", block_of("r", br, 5))
+    if force_dim_slices is not None:
+        nd = force_dim_slices
+    else:
+        ml = L.groupBy("_bl").count().agg(F.max("count")).first()[0] or 0
+        mr = R.groupBy("_br").count().agg(F.max("count")).first()[0] or 0
+        nd = max(1, math.ceil((int(ml) + int(mr)) / max_task_rows))
+    fl = (lambda x: np.abs(x)) if den_left_abs else (lambda x: np.ones_like(x))
+    fr = (lambda x: np.abs(x)) if den_right_abs else (lambda x: np.ones_like(x))
+
+    Lr = L.select(F.lit(0).alias("_side"), "_bl", F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("_br"),
+                  (block_of("d", nd, 17) if nd > 1 else F.lit(0)).alias("_s"),
+                  "l", F.lit(None).cast("long").alias("r"), "d", F.col("v").alias("x"))
+    Rr = R.select(F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0), F.lit(bl - 1))).alias("_bl"), "_br",
+                  (block_of("d", nd, 17) if nd > 1 else F.lit(0)).alias("_s"),
+                  F.lit(None).cast("long").alias("l"), "r", "d", F.col("w").alias("x"))
+    rows = Lr.unionByName(Rr)
+
+    def matrices(pdf):
+        lft = pdf[pdf["_side"] == 0]
+        rgt = pdf[pdf["_side"] == 1]
+        ida = np.unique(lft["l"].to_numpy("int64"))
+        idb = np.unique(rgt["r"].to_numpy("int64"))
+        li = np.searchsorted(ida, lft["l"].to_numpy("int64"))
+        ri = np.searchsorted(idb, rgt["r"].to_numpy("int64"))
+        v = lft["x"].to_numpy("float64")
+        w = rgt["x"].to_numpy("float64")
+        res = _accumulate_multi(li, lft["d"].to_numpy("int64"), ri, rgt["d"].to_numpy("int64"),
+                                len(ida), len(idb), [(v, w), (fl(v), fr(w))], sparse_ok=True)
+        return ida, idb, res
+
+    def touched(res, nb_):
+        """(rows, cols, num, den) of the entries with a shared dimension."""
+        if res[0] == "sparse":
+            _, lin, (num, den) = res
+            return lin // nb_, lin % nb_, num, den
+        num, den = res[1]
+        r_, c_ = np.nonzero(den)
+        return r_, c_, num[r_, c_], den[r_, c_]
+
+    if nd > 1:
+        def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+            ida, idb, res = matrices(pdf)
+            r_, c_, num, den = touched(res, len(idb))
+            return pd.DataFrame({"l": ida[r_], "r": idb[c_], "num": num, "den": den})
+        agg = (rows.groupBy("_bl", "_br", "_s").applyInPandas(partial, "l long, r long, num double, den double")
+               .groupBy("l", "r").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+               .filter(F.col("num") > 0).select("l", "r", (F.col("num") / F.col("den")).alias("pred")))
+        if mode == "all":
+            return agg
+        if mode == "seen":
+            return agg.join(P, ["l", "r"])
+        un = agg.join(P, ["l", "r"], "left_anti")
+        from reco.operators.ranking import top_n_per_group
+        return top_n_per_group(un, ["l"], [F.round("pred", 9).desc(), F.col("r").asc()], n)
+
+    Pr = P.select(F.lit(2).alias("_side"), block_of("l", bl, 3).alias("_bl"), block_of("r", br, 5).alias("_br"),
+                  F.lit(0).alias("_s"), "l", "r", F.lit(None).cast("long").alias("d"), F.col("a").alias("x"))
+    rows = rows.unionByName(Pr)
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        ida, idb, res = matrices(pdf)
+        kn = pdf[pdf["_side"] == 2]
+        if res[0] == "sparse":
+            return sparse_cell(ida, idb, res, kn)
+        num, den = res[1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pred = np.where(num > 0, num / den, np.nan)
+        pl = kn["l"].to_numpy("int64")
+        pr = kn["r"].to_numpy("int64")
+        pa = kn["x"].to_numpy("float64")
+        ri = np.searchsorted(ida, pl)
+        ci = np.searchsorted(idb, pr)
+        ok = (ri < len(ida)) & (ci < len(idb))
+        ok[ok] = (ida[ri[ok]] == pl[ok]) & (idb[ci[ok]] == pr[ok])
+        ri, ci, pa = ri[ok], ci[ok], pa[ok]
+        if mode == "seen":
+            p = pred[ri, ci] if len(ri) else np.array([])
+            m = ~np.isnan(p)
+            return pd.DataFrame({"l": ida[ri][m], "r": idb[ci][m], "pred": p[m], "a": pa[m], "_key": 0.0})
+        if mode == "all":
+            r_, c_ = np.nonzero(~np.isnan(pred))
+            return pd.DataFrame({"l": ida[r_], "r": idb[c_], "pred": pred[r_, c_], "a": np.nan, "_key": 0.0})
+        key = np.where(np.isnan(pred), _KEY_INF, -np.round(np.nan_to_num(pred), 9))
+        key[ri, ci] = _KEY_INF
+        t = _local_topk(key, np.nan_to_num(pred), ida, idb, n, False)
+        return pd.DataFrame({"l": t["e1"], "r": t["e2"], "pred": t["score"], "a": np.nan, "_key": t["_key"]})
+
+    def sparse_cell(ida, idb, res, kn):
+        nb_ = len(idb)
+        r_, c_, num, den = touched(res, nb_)
+        m = num > 0
+        r_, c_, pred = r_[m], c_[m], num[m] / den[m]
+        lin = r_ * nb_ + c_
+        pl = kn["l"].to_numpy("int64")
+        pr = kn["r"].to_numpy("int64")
+        pa = kn["x"].to_numpy("float64")
+        ri = np.searchsorted(ida, pl)
+        ci = np.searchsorted(idb, pr)
+        ok = (ri < len(ida)) & (ci < nb_)
+        ok[ok] = (ida[ri[ok]] == pl[ok]) & (idb[ci[ok]] == pr[ok])
+        klin = ri[ok] * nb_ + ci[ok]
+        is_known = np.isin(lin, klin)
+        if mode == "all":
+            return pd.DataFrame({"l": ida[r_], "r": idb[c_], "pred": pred, "a": np.nan, "_key": 0.0})
+        if mode == "seen":
+            amap = dict(zip(klin.tolist(), pa[ok].tolist()))
+            s_ = is_known
+            a_ = np.array([amap[x] for x in lin[s_].tolist()], dtype="float64")
+            return pd.DataFrame({"l": ida[r_[s_]], "r": idb[c_[s_]], "pred": pred[s_], "a": a_, "_key": 0.0})
+        u = ~is_known
+        r_, c_, pred = r_[u], c_[u], pred[u]
+        kv = -np.round(pred, 9)
+        o = np.lexsort((c_, kv, r_))
+        r_, c_, kv, pred = r_[o], c_[o], kv[o], pred[o]
+        if len(r_) == 0:
+            return pd.DataFrame({"l": np.array([], "int64"), "r": np.array([], "int64"), "pred": [], "a": [],
+                                 "_key": []}).astype({"pred": "float64", "a": "float64", "_key": "float64"})
+        starts = np.r_[0, np.flatnonzero(np.diff(r_)) + 1]
+        pos = np.arange(len(r_)) - np.repeat(starts, np.diff(np.r_[starts, len(r_)]))
+        keep = pos < (n if n is not None else len(r_))
+        return pd.DataFrame({"l": ida[r_[keep]], "r": idb[c_[keep]], "pred": pred[keep], "a": np.nan,
+                             "_key": kv[keep]})
+
+    out = rows.groupBy("_bl", "_br").applyInPandas(cell, "l long, r long, pred double, a double, _key double")
+    if mode == "all":
+        return out.select("l", "r", "pred")
+    if mode == "seen":
+        return out.select("l", "r", "pred", "a")
+    w = Window.partitionBy("l").orderBy(F.col("_key").asc(), F.col("r").asc())
+    r = out.withColumn("rank", F.row_number().over(w))
+    if n is not None:
+        r = r.filter(F.col("rank") <= n)
+    return r.select("l", "r", "pred", "rank")

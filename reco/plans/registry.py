@@ -495,38 +495,43 @@ _M6_CTES = _rating_sim_ctes("user", RATING_K, "u") + _pred_ctes(
 def _m4r(f: Fx):
     """M4 + J7 + A11 + F11 + J8 + W5 + S9: content item kNN (k=200),
     top 30 unseen items per user."""
-    p = NB.predict_content_knn(f.catalog, f.ratings, CONTENT_K)
-    return NB.top_recommendations(p, f.ratings, RECO_TOP_CONTENT)
+    nb, by = NB.neighbors_for("content", f.ratings, f.catalog, CONTENT_K)
+    return NB.knn_recommendations(nb, f.ratings, by, RECO_TOP_CONTENT)
 
 
 @query("m4_content_knn_mae", cte("catalog", "ratings", extra=_M4_CTES) + _MAE_SQL)
 def _m4e(f: Fx):
     """M4 + J9 + A12: MAE of content kNN on already-rated pairs."""
-    return NB.prediction_mae(NB.predict_content_knn(f.catalog, f.ratings, CONTENT_K), f.ratings)
+    nb, by = NB.neighbors_for("content", f.ratings, f.catalog, CONTENT_K)
+    return NB.knn_mae(nb, f.ratings, by)
 
 
 @query("m5_item_knn_recs", cte("ratings", extra=_M5_CTES) + _recs_sql(RECO_TOP_RATING))
 def _m5r(f: Fx):
     """M5: item kNN over rating vectors (k=10), top 50 unseen per user."""
-    return NB.top_recommendations(NB.predict_item_knn(f.ratings, RATING_K), f.ratings, RECO_TOP_RATING)
+    nb, by = NB.neighbors_for("item", f.ratings, k=RATING_K)
+    return NB.knn_recommendations(nb, f.ratings, by, RECO_TOP_RATING)
 
 
 @query("m5_item_knn_mae", cte("ratings", extra=_M5_CTES) + _MAE_SQL)
 def _m5e(f: Fx):
     """M5 + J9 + A12."""
-    return NB.prediction_mae(NB.predict_item_knn(f.ratings, RATING_K), f.ratings)
+    nb, by = NB.neighbors_for("item", f.ratings, k=RATING_K)
+    return NB.knn_mae(nb, f.ratings, by)
 
 
 @query("m6_user_knn_recs", cte("ratings", extra=_M6_CTES) + _recs_sql(RECO_TOP_RATING))
 def _m6r(f: Fx):
     """M6: user kNN over rating vectors (k=10), top 50 unseen per user."""
-    return NB.top_recommendations(NB.predict_user_knn(f.ratings, RATING_K), f.ratings, RECO_TOP_RATING)
+    nb, by = NB.neighbors_for("user", f.ratings, k=RATING_K)
+    return NB.knn_recommendations(nb, f.ratings, by, RECO_TOP_RATING)
 
 
 @query("m6_user_knn_mae", cte("ratings", extra=_M6_CTES) + _MAE_SQL)
 def _m6e(f: Fx):
     """M6 + J9 + A12."""
-    return NB.prediction_mae(NB.predict_user_knn(f.ratings, RATING_K), f.ratings)
+    nb, by = NB.neighbors_for("user", f.ratings, k=RATING_K)
+    return NB.knn_mae(nb, f.ratings, by)
 
 
 @query("m1_catalog_baseline_mae", cte("catalog", "ratings") + "SELECT round(avg(abs(r.rating - c.average_rating)), 6) "
@@ -737,7 +742,8 @@ def _a14(f: Fx):
 def _q1(f: Fx):
     """Q1 + J13 + S10: top-10 for every registered user: stored item-kNN
     recommendations, or the best-rated list for users without any."""
-    reco = NB.top_recommendations(NB.predict_item_knn(f.ratings, RATING_K), f.ratings, RECO_TOP_RATING)
+    nb, by = NB.neighbors_for("item", f.ratings, k=RATING_K)
+    reco = NB.knn_recommendations(nb, f.ratings, by, RECO_TOP_RATING)
     best = PO.best_rated(f.catalog, MIN_SUPPORT, SERVE_N)
     req = f.users.select(F.col("id").alias("user_id"))
     return serve.recommend_for_users(req, reco, best, SERVE_N)
