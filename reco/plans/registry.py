@@ -789,3 +789,40 @@ def _flag(f: Fx):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return QUERIES["flagship_similar_items_by_ratings"](spark, sf)
+
+
+@query("s8_similarity_table", cte("catalog", extra=_content_ctes(SIM_TOP))
+       + "SELECT item1, item2, round(score, 6) AS score, rank FROM csim")
+def _s8(f: Fx):
+    """The content similarity table written whole (full refresh) and read
+    back; lookups by item1 then order by the stored rank (D7)."""
+    path = scratch_path(f.spark, "similarity")
+    SK.write_table(content_similarity(f.catalog, top_k=SIM_TOP), path)
+    return SK.read_back(f.spark, path)
+
+
+def _user_reco_table(f: Fx) -> DataFrame:
+    path = scratch_path(f.spark, "users-reco")
+    nb, by = NB.neighbors_for("item", f.ratings, k=RATING_K)
+    SK.write_table(NB.knn_recommendations(nb, f.ratings, by, RECO_TOP_RATING), path)
+    return SK.read_back(f.spark, path)
+
+
+@query("s9_user_reco_table", cte("ratings", extra=_M5_CTES) + _recs_sql(RECO_TOP_RATING))
+def _s9(f: Fx):
+    """The per-user top-50 recommendation table (item kNN) written whole
+    and read back."""
+    return _user_reco_table(f)
+
+
+@query("s10_lookup_top_user", cte("ratings", extra=_M5_CTES + [
+    ("top", "SELECT user_id FROM ratings GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1"),
+    ("recs", _recs_sql(RECO_TOP_RATING))])
+    + f"SELECT recs.* FROM recs JOIN top USING (user_id) WHERE rank <= {SERVE_N}")
+def _s10(f: Fx):
+    """S10 + F6 + O5: point read of the stored recommendation table for one
+    user (the most active one), filter on a bound literal, ordered by rank,
+    first 10."""
+    table = _user_reco_table(f)
+    uid = A.most_active(f.ratings).first()["user_id"]  # one scalar
+    return SK.lookup(table, "user_id", int(uid), SERVE_N)
