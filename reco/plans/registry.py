@@ -826,3 +826,24 @@ def _s10(f: Fx):
     table = _user_reco_table(f)
     uid = A.most_active(f.ratings).first()["user_id"]  # one scalar
     return SK.lookup(table, "user_id", int(uid), SERVE_N)
+
+
+_M6B_CTES = _rating_sim_ctes("user", 1_000_000_000, "u") + [
+    ("tri", "SELECT s.user1 AS user_id, r.item_id, s.score, r.rating, row_number() OVER (PARTITION BY s.user1, "
+            "r.item_id ORDER BY s.score DESC, s.user2) AS rn FROM usim s JOIN ratings r ON r.user_id = s.user2"),
+    ("pa", f"SELECT user_id, item_id, sum(score*rating) AS num, sum(abs(score)) AS den FROM tri "
+           f"WHERE rn <= {RATING_K} GROUP BY 1, 2"),
+    ("p", "SELECT user_id, item_id, num/den AS pred FROM pa WHERE num > 0")]
+
+
+@query("m6b_user_knn_rated_recs", cte("ratings", extra=_M6B_CTES) + _recs_sql(RECO_TOP_RATING))
+def _m6b(f: Fx):
+    """User kNN, k=10 nearest users *who rated the item*, top 50 unseen
+    items per user."""
+    return NB.user_knn_rated_recommendations(f.ratings, RATING_K, RECO_TOP_RATING)
+
+
+@query("m6b_user_knn_rated_mae", cte("ratings", extra=_M6B_CTES) + _MAE_SQL)
+def _m6be(f: Fx):
+    """M6b + J9 + A12."""
+    return NB.user_knn_rated_mae(f.ratings, RATING_K)
