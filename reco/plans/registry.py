@@ -27,6 +27,7 @@ from reco.operators import popularity as PO
 from reco.operators.ranking import rank_in_group
 from reco.operators.similarity import content_similarity, rating_similarity
 from reco.plans import serve
+from reco.deploy import ship_package
 from reco.session import ensure_checkpoint_dir
 from reco.sources import readers as RD
 from reco.sources import sinks as SK
@@ -98,6 +99,7 @@ def finalize(df: DataFrame) -> DataFrame:
 def query(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
             return finalize(fn(Fx(spark, sf)))
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -43,6 +43,8 @@ def build_session(master: str | None = None, app: str = "reco",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    from reco.deploy import ship_package
+    ship_package(spark)
     return spark
 
 
