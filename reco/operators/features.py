@@ -89,13 +89,12 @@ def rating_vectors(ratings: DataFrame, entity: str = "item", center: bool = Fals
 
 def dense_index(df: DataFrame, col: str, alias: str = "idx") -> DataFrame:
     """Dense 0-based index of the distinct values of ``col`` in ascending
-    order.  Distributed: range-partitioned sort, then per-partition offsets
-    (``zipWithIndex``), never a single-partition window."""
-    spark = df.sparkSession
-    d = df.select(col).distinct().orderBy(col)
-    rdd = d.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1]))
-    schema = f"{col} {dict(d.dtypes)[col]}, {alias} long"
-    return spark.createDataFrame(rdd, schema)
+    order.  Distributed: range-partitioned sort plus per-partition offsets
+    (``ranking.global_rank``), never a single-partition window."""
+    from reco.operators.ranking import global_rank
+    d = df.select(col).distinct()
+    r = global_rank(d, [F.col(col).asc()], "_r")
+    return r.select(col, (F.col("_r") - 1).cast("long").alias(alias))
 
 
 def drop_for_pca(catalog: DataFrame) -> DataFrame:

@@ -40,22 +40,25 @@ def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int
 
 def global_rank(df: DataFrame, order: list[Column], alias: str = "rank") -> DataFrame:
     """1-based rank of every row in a total order (include a unique tie-break
-    column in ``order``).  Distributed sort + ``zipWithIndex`` offsets."""
-    spark = df.sparkSession
-    s = df.orderBy(*order)
-    schema = s.schema.add(alias, "long")
-    rdd = s.rdd.zipWithIndex().map(lambda t: (*t[0], t[1] + 1))
-    return spark.createDataFrame(rdd, schema)
+    column in ``order``): ``rank_in_group`` with one constant key, i.e. a
+    range-partitioned sort plus per-partition offsets, all JVM-side."""
+    r = rank_in_group(df.withColumn("_all", F.lit(0)), "_all", order, alias, "_n")
+    return r.drop("_all", "_n")
 
 
 def rank_in_group(df: DataFrame, key: str, order: list[Column], pos: str = "pos",
                   size: str = "n") -> DataFrame:
     """1-based position of each row within its key in ``order`` plus the key's
     row count, without gathering a key's rows into one task."""
+    from reco.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     sorted_ = df.repartitionByRange(F.col(key), *order).sortWithinPartitions(F.col(key), *order)
-    x = sorted_.withColumn("_pid", F.spark_partition_id())
-    # local position within (partition, key); Window partitioned by
-    # (_pid, key) does not need a shuffle: rows are already co-located.
+    # Materialise the partition tags once: both branches below (local
+    # positions and the offset table) must see the same range partitioning,
+    # and a recomputation could sample different range bounds.
+    x = sorted_.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    # local position within (partition, key); Spark re-hashes on
+    # (_pid, key), and each such group is bounded by one range partition.
     wl = Window.partitionBy("_pid", key).orderBy(*order)
     x = x.withColumn("_lpos", F.row_number().over(wl))
     cnt = x.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
