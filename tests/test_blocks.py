@@ -94,3 +94,39 @@ def test_bipartite_excludes_and_matches(spark):
         S[i, j] = -np.inf
     for i in range(12):
         assert list(r[r.l == i].sort_values("rank").r) == list(np.argsort(-S[i], kind="stable")[:3])
+
+
+def test_hot_item_triggers_dimension_slicing_automatically(spark, monkeypatch):
+    """A hot item (a third of all rows) makes its block exceed the task bound;
+    the engine must switch to sliced partial products on its own and stay
+    exact."""
+    rng = np.random.default_rng(9)
+    rows = {(0, int(d)): float(rng.integers(1, 6)) for d in range(300)}  # hot item 0
+    rows.update({(int(e), int(d)): float(rng.integers(1, 6))
+                 for e, d in zip(rng.integers(1, 40, 500), rng.integers(0, 300, 500))})
+    rows = [(e, d, v) for (e, d), v in rows.items()]
+    df = spark.createDataFrame(rows, "e long, d long, v double")
+    calls = []
+    orig = blocks.block_of
+
+    def spy(col, n, seed=0):
+        if seed == 17:
+            calls.append(n)
+        return orig(col, n, seed)
+
+    monkeypatch.setattr(blocks, "block_of", spy)
+    got = _canon(blocks.sparse_topk(df, "e", "d", "v", 4, block_rows=8, max_task_rows=200).toPandas())
+    assert calls and calls[0] > 1  # dimension slices were used
+    want = sorted((a, b, round(s, 9), r) for a, b, s, r in _brute_sparse(rows, 4))
+    assert got == want
+
+
+def test_product_auto_slices_hot_user(spark):
+    from reco.operators import neighborhood as NB
+    rows = [(0, i, float(1 + i % 5)) for i in range(60)] + [(u, u % 60, 3.0) for u in range(1, 40)] + \
+           [(u, (u * 7) % 60, 4.0) for u in range(1, 40)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating double").dropDuplicates(["user_id", "item_id"])
+    nb, by = NB.neighbors_for("item", df, k=5, block_rows=8)
+    a = NB.knn_recommendations(nb, df, by, 5).collect()
+    b = NB.knn_recommendations(nb, df, by, 5, max_task_rows=50).collect()  # forces slicing by size
+    assert sorted((r.user_id, r.rank, r.item_id) for r in a) == sorted((r.user_id, r.rank, r.item_id) for r in b)
