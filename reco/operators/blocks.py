@@ -246,8 +246,11 @@ def sparse_topk(long_df: DataFrame, entity: str, dim: str, value: str, k: int |
     ranked by score descending then e2.
     """
     spark = long_df.sparkSession
+    from reco.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    # materialise the input once: the sizing passes and the product read it
     base = long_df.select(F.col(entity).cast("long").alias("_e"), F.col(dim).cast("long").alias("_d"),
-                          F.col(value).cast("double").alias("_v"))
+                          F.col(value).cast("double").alias("_v")).checkpoint(eager=True)
     st = base.agg(F.approx_count_distinct("_e").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     n_ent, n_rows = int(st["n"] or 0), int(st["rows"] or 0)
     if n_rows == 0:
@@ -324,7 +327,8 @@ def sparse_topk(long_df: DataFrame, entity: str, dim: str, value: str, k: int |
 
 def bipartite_topk(left: DataFrame, right: DataFrame, id_col: str, vec_col: str, k: int,
                    exclude: DataFrame | None = None, block_rows: int = 2048,
-                   n_left: int | None = None, n_right: int | None = None) -> DataFrame:
+                   n_left: int | None = None, n_right: int | None = None,
+                   max_task_rows: int = 2_000_000) -> DataFrame:
     """Exact top-k right rows per left row by dot product (descending, ties by
     right id), skipping the (left, right) pairs listed in ``exclude``
     (columns l, r).  ``left``/``right``: (id_col, vec_col array<float|double>).
@@ -339,6 +343,11 @@ def bipartite_topk(left: DataFrame, right: DataFrame, id_col: str, vec_col: str,
     par = max(1, spark.sparkContext.defaultParallelism)
     bl = max(1, math.ceil(nl / block_rows))
     br = max(1, math.ceil(nr / block_rows), math.ceil(2 * par / bl))
+    if exclude is not None:
+        # a left block's excluded pairs spread over its br cells by the right
+        # id: size br so the heaviest left row (a hot user) fits a cell
+        heaviest = exclude.groupBy("l").count().agg(F.max("count")).first()[0] or 0
+        br = max(br, math.ceil(int(heaviest) / max_task_rows))
     br = min(br, max(1, nr))
     L = left.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
     R = right.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
