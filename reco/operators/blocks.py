@@ -91,6 +91,21 @@ def _local_topk(key: np.ndarray, raw: np.ndarray, row_ids: np.ndarray, col_ids:
         r, c, kv = r[m], c[m], kv[m]
         return pd.DataFrame({"e1": row_ids[r].astype("int64"), "e2": col_ids[c].astype("int64"),
                              "score": raw[r, c].astype("float64"), "_key": kv.astype("float64")})
+    if kk * 4 < key.shape[1]:
+        # selection instead of a full sort: the k-th smallest key per row,
+        # then every entry at or below it (ties at the boundary included),
+        # sorted by (row, key, column id) and cut to k per row
+        kth = np.partition(key, kk - 1, axis=1)[:, kk - 1]
+        r, c = np.nonzero(key <= kth[:, None])
+        kv = key[r, c]
+        o = np.lexsort((c, kv, r))
+        r, c, kv = r[o], c[o], kv[o]
+        starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+        pos = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
+        m = (pos < kk) & np.isfinite(kv)
+        r, c, kv = r[m], c[m], kv[m]
+        return pd.DataFrame({"e1": row_ids[r].astype("int64"), "e2": col_ids[c].astype("int64"),
+                             "score": raw[r, c].astype("float64"), "_key": kv.astype("float64")})
     order = np.argsort(key, axis=1, kind="stable")[:, :kk]
     sel = np.take_along_axis(key, order, axis=1)
     keep = np.isfinite(sel)
