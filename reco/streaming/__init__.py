@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming workload: no watermarks, windows over event
+time, stateful operators or late data; its jobs are batch re-runs (SURVEY
+§2.13).  Nothing is built here on purpose.  A batch job of this package can be
+driven incrementally by calling it from ``foreachBatch`` if that is ever
+needed.
+"""
