@@ -37,7 +37,9 @@ def build_session(master: str | None = None, app: str = "reco",
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", os.environ.get("RECO_DRIVER_MEMORY", "16g"))
-         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024)))
+         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+         # remove reliable checkpoints once their DataFrames are garbage
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
