@@ -127,7 +127,7 @@ def _m16_result(f: Fx):
 
 @query("m16_per_user_logistic")
 def _m16(f: Fx):
-    """M16 + F12 + F13 + A20: per-user L2 logistic regression, per-user C by
+    """M16 + F12 + F13 + J12 + A20: per-user L2 logistic regression, per-user C by
     5-fold CV accuracy over the reference's 9-value grid; pooled test accuracy
     and the number of trained users."""
     res = _m16_result(f)

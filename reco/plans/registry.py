@@ -206,8 +206,9 @@ def _bucket(seed: int) -> str:
        "round(average_taste_rating, 6) AS average_taste_rating, "
        "round(average_body_rating, 6) AS average_body_rating FROM catalog")
 def _s1(f: Fx):
-    """S1 + F1 + F3 + J1 + J2: item catalog star join, rated items only."""
-    return f.catalog
+    """S1 + F1 + F3 + J1 + J2 + O3: item catalog star join, rated items only,
+    ordered by id."""
+    return f.catalog.orderBy("id")
 
 
 @query("s2_ratings_scan", cte("ratings") + "SELECT user_id, item_id, rating, CAST(rated_at AS VARCHAR) AS rated_at "
@@ -464,21 +465,24 @@ def _e7(f: Fx):
 @query("k1_content_similarity", cte("catalog", extra=_content_ctes(SIM_TOP))
        + "SELECT item1, item2, round(score, 6) AS score, rank FROM csim")
 def _k1(f: Fx):
-    """K1 + S8: content item-item distance, top SIM_TOP per item."""
+    """K1 + J5 + A10 + W1: content item-item distance over all pairs (the
+    theta join done as blocked matrix products), top SIM_TOP per item."""
     return content_similarity(f.catalog, top_k=SIM_TOP)
 
 
 @query("k2_item_rating_similarity", cte("ratings", extra=_rating_sim_ctes("item", SIM_TOP, "it"))
        + "SELECT item1, item2, round(score, 6) AS score, rank FROM itsim")
 def _k2(f: Fx):
-    """K2: item-item cosine of rating vectors, top SIM_TOP per item."""
+    """K2 + J6 + A10 + W1: item-item cosine of rating vectors (co-rating
+    products computed block-wise), top SIM_TOP per item."""
     return rating_similarity(f.ratings, "item", top_k=SIM_TOP)
 
 
 @query("k3_user_rating_similarity", cte("ratings", extra=_rating_sim_ctes("user", SIM_TOP, "u"))
        + "SELECT user1, user2, round(score, 6) AS score, rank FROM usim")
 def _k3(f: Fx):
-    """K3: user-user cosine of rating vectors, top SIM_TOP per user."""
+    """K3 + J6 + A10 + W1: user-user cosine of rating vectors, top SIM_TOP per
+    user."""
     return rating_similarity(f.ratings, "user", top_k=SIM_TOP)
 
 
@@ -556,7 +560,7 @@ def _m2_sql(fit_all: bool) -> str:
 
 @query("m2_item_mean_baseline", _m2_sql(False))
 def _m2(f: Fx):
-    """M2 + M18 + A13 (D12 default): item means fitted on the 80% split,
+    """M2 + M18 + A13 + X12 (D12 default): item means fitted on the 80% split,
     global-mean fallback, RMSE/MAE on the 20% split."""
     train, test = EV.hash_split(f.ratings, SPLIT_SEED, 80)
     return PO.item_mean_baseline(train, test)
@@ -573,7 +577,7 @@ def _m2b(f: Fx):
        f"number_of_ratings AS count, row_number() OVER (ORDER BY average_rating DESC, id) AS rank FROM catalog "
        f"WHERE number_of_ratings > {MIN_SUPPORT} ORDER BY average_rating DESC, id LIMIT {SERVE_N}")
 def _m3(f: Fx):
-    """M3 + F4 + O1: best-rated items with support > MIN_SUPPORT, top 10."""
+    """M3 + F2 + F4 + O1: best-rated items with support > MIN_SUPPORT, top 10."""
     return PO.best_rated(f.catalog, MIN_SUPPORT, SERVE_N)
 
 
@@ -720,7 +724,8 @@ def _a15(f: Fx):
       "(SELECT count(*) FROM te) AS n_all FROM pr")
 def _a14(f: Fx):
     """A14 + W2 + J4 + D14: MPR of a train-popularity score on the test
-    split; the denominator counts every test row (cold-start rows too)."""
+    split; the denominator counts every test row (cold-start rows too).  The
+    reference's per-user list (A17) is replaced by the skew-safe rank."""
     train, _, test = IN.split3(_fine_inter(f), 0)
     pop = train.groupBy("item_id").agg(F.sum("rating").alias("pred"))
     scored = test.join(pop, "item_id")
@@ -849,3 +854,15 @@ def _m6b(f: Fx):
 def _m6be(f: Fx):
     """M6b + J9 + A12."""
     return NB.user_knn_rated_mae(f.ratings, RATING_K)
+
+
+@query("s3_brands_scan", cte("brands") + "SELECT id, name, origin_id FROM brands")
+def _s3b(f: Fx):
+    """S3: all brands (dimension scan)."""
+    return fx.brands(f.t).select("id", "name", "origin_id")
+
+
+@query("s3_flavors_scan", cte("flavors") + "SELECT id, name FROM flavors")
+def _s3f(f: Fx):
+    """S3: all flavors (dimension scan)."""
+    return fx.flavors(f.t).select("id", "name")
