@@ -359,6 +359,10 @@ def bipartite_topk(left: DataFrame, right: DataFrame, id_col: str, vec_col: str,
     bl = max(1, math.ceil(nl / block_rows))
     br = max(1, math.ceil(nr / block_rows), math.ceil(2 * par / bl))
     if exclude is not None:
+        from reco.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        exclude = exclude.select(F.col("l").cast("long").alias("l"),
+                                 F.col("r").cast("long").alias("r")).checkpoint(eager=True)
         # a left block's excluded pairs spread over its br cells by the right
         # id: size br so the heaviest left row (a hot user) fits a cell
         heaviest = exclude.groupBy("l").count().agg(F.max("count")).first()[0] or 0

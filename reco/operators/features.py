@@ -51,7 +51,12 @@ def content_features(catalog: DataFrame, missing_as_category: bool = True) -> Da
 
     The L2 normalisation (E3) is folded into the similarity kernel, which
     divides the dot product by both norms."""
+    from reco.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(catalog.sparkSession)
     c = fill_missing(catalog) if missing_as_category else catalog.na.fill(0)
+    # item-level table (one row per item): materialise it once so the
+    # statistics pass and the later scoring do not re-aggregate the fact table
+    c = c.select("id", *NUMERIC_FEATURES, *CATEGORY_FEATURES).checkpoint(eager=True)
     z = standardize(c, NUMERIC_FEATURES)
     return z.select("id", *Z_COLS, *CATEGORY_FEATURES)
 
