@@ -665,7 +665,9 @@ def sparse_product(left: DataFrame, right: DataFrame, pairs: DataFrame, mode: st
 # per-(user, item) neighbour selection: user kNN over neighbours who rated
 
 def rated_neighbor_predictions(sim: DataFrame, ratings: DataFrame, k: int, mode: str, n: int | None = None,
-                               max_cell: int = 1_000_000, chunk_triples: int = 4_000_000) -> DataFrame:
+                               max_cell: int = 1_000_000, chunk_triples: int = 4_000_000,
+                               max_task_rows: int = 4_000_000,
+                               force_dim_slices: int | None = None) -> DataFrame:
     """For every (user u, item i), the k most similar users v (score
     desc, v asc) *among those who rated i*; pred = sum(s*r)/sum(|s|), num > 0.
 
@@ -687,28 +689,38 @@ def rated_neighbor_predictions(sim: DataFrame, ratings: DataFrame, k: int, mode:
     par = max(1, spark.sparkContext.defaultParallelism)
     bl, br = _choose_blocks(int(st_l["n"] or 1), int(st_r["n"] or 1), int(st_l["c"] or 0), int(st_r["c"] or 0),
                             max_cell, par)
+    if force_dim_slices is not None:
+        nd = force_dim_slices
+    else:
+        # a hot item (all its raters) or a user with very many neighbours
+        # makes one cell too big: slice the shared neighbour dimension
+        ml = S.groupBy(block_of("l", bl, 3).alias("b")).count().agg(F.max("count")).first()[0] or 0
+        mr = Rt.groupBy(block_of("i", br, 5).alias("b")).count().agg(F.max("count")).first()[0] or 0
+        nd = max(1, math.ceil((int(ml) + int(mr)) / max_task_rows))
+    sl_l = block_of("d", nd, 17) if nd > 1 else F.lit(0)
+    sl_r = block_of("u", nd, 17) if nd > 1 else F.lit(0)
     Lr = S.select(F.lit(0).alias("_side"), block_of("l", bl, 3).alias("_bl"),
-                  F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("_br"),
+                  F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("_br"), sl_l.alias("_s"),
                   "l", F.lit(None).cast("long").alias("r"), "d", F.col("s").alias("x"))
     Rr = Rt.select(F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0), F.lit(bl - 1))).alias("_bl"),
-                   block_of("i", br, 5).alias("_br"), F.lit(None).cast("long").alias("l"),
+                   block_of("i", br, 5).alias("_br"), sl_r.alias("_s"), F.lit(None).cast("long").alias("l"),
                    F.col("i").alias("r"), F.col("u").alias("d"), F.col("a").alias("x"))
     Pr = Rt.select(F.lit(2).alias("_side"), block_of("u", bl, 3).alias("_bl"), block_of("i", br, 5).alias("_br"),
-                   F.col("u").alias("l"), F.col("i").alias("r"), F.lit(None).cast("long").alias("d"),
-                   F.col("a").alias("x"))
-    rows = Lr.unionByName(Rr).unionByName(Pr)
+                   F.lit(0).alias("_s"), F.col("u").alias("l"), F.col("i").alias("r"),
+                   F.lit(None).cast("long").alias("d"), F.col("a").alias("x"))
+    rows = Lr.unionByName(Rr)
+    if nd == 1:
+        rows = rows.unionByName(Pr)
 
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    def candidates(pdf: pd.DataFrame):
+        """Running top-k candidates of the cell: (ida, idb, [lin, -s, v, s*r, |s|])."""
         lft = pdf[pdf["_side"] == 0]
         rgt = pdf[pdf["_side"] == 1]
-        kn = pdf[pdf["_side"] == 2]
         ida = np.unique(lft["l"].to_numpy("int64"))
         idb = np.unique(rgt["r"].to_numpy("int64"))
         nb_ = len(idb)
-        empty = pd.DataFrame({"l": np.array([], "int64"), "r": np.array([], "int64"), "pred": np.array([], "float64"),
-                              "a": np.array([], "float64"), "_key": np.array([], "float64")})
         if len(ida) == 0 or nb_ == 0:
-            return empty
+            return ida, idb, None
         li = np.searchsorted(ida, lft["l"].to_numpy("int64"))
         ld = lft["d"].to_numpy("int64")
         ls = lft["x"].to_numpy("float64")
@@ -748,7 +760,25 @@ def rated_neighbor_predictions(sim: DataFrame, ratings: DataFrame, k: int, mode:
             m = pos < k
             keep = [x[m] for x in allc]
             start = end
-        if len(keep[0]) == 0:
+        return ida, idb, keep
+
+    def sliced(pdf: pd.DataFrame) -> pd.DataFrame:
+        ida, idb, keep = candidates(pdf)
+        if keep is None or len(keep[0]) == 0:
+            return pd.DataFrame({"l": np.array([], "int64"), "r": np.array([], "int64"),
+                                 "v": np.array([], "int64"), "s": np.array([], "float64"),
+                                 "sr": np.array([], "float64")})
+        nb_ = len(idb)
+        return pd.DataFrame({"l": ida[keep[0] // nb_], "r": idb[keep[0] % nb_], "v": keep[2],
+                             "s": -keep[1], "sr": keep[3]})
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        ida, idb, keep = candidates(pdf)
+        nb_ = len(idb)
+        kn = pdf[pdf["_side"] == 2]
+        empty = pd.DataFrame({"l": np.array([], "int64"), "r": np.array([], "int64"), "pred": np.array([], "float64"),
+                              "a": np.array([], "float64"), "_key": np.array([], "float64")})
+        if keep is None or len(keep[0]) == 0:
             return empty
         uniq, inv = np.unique(keep[0], return_inverse=True)
         num = np.bincount(inv, weights=keep[3])
@@ -779,6 +809,18 @@ def rated_neighbor_predictions(sim: DataFrame, ratings: DataFrame, k: int, mode:
         m = pos < (n if n is not None else len(r_))
         return pd.DataFrame({"l": ida[r_[m]], "r": idb[c_[m]], "pred": pred[m], "a": np.nan, "_key": kv[m]})
 
+    if nd > 1:
+        cand = rows.groupBy("_bl", "_br", "_s").applyInPandas(sliced, "l long, r long, v long, s double, sr double")
+        from reco.operators.ranking import top_n_per_group
+        top = top_n_per_group(cand, ["l", "r"], [F.col("s").desc(), F.col("v").asc()], k, "_rk")
+        agg = (top.groupBy("l", "r").agg(F.sum("sr").alias("num"), F.sum(F.abs("s")).alias("den"))
+               .filter(F.col("num") > 0).select("l", "r", (F.col("num") / F.col("den")).alias("pred")))
+        known = Rt.select(F.col("u").alias("l"), F.col("i").alias("r"), "a")
+        if mode == "seen":
+            return agg.join(known, ["l", "r"])
+        un = agg.join(known, ["l", "r"], "left_anti")
+        return top_n_per_group(un, ["l"], [F.round("pred", 9).desc(), F.col("r").asc()], n).select(
+            "l", "r", "pred", "rank")
     out = rows.groupBy("_bl", "_br").applyInPandas(cell, "l long, r long, pred double, a double, _key double")
     if mode == "seen":
         return out.select("l", "r", "pred", "a")
