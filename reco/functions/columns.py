@@ -41,6 +41,7 @@ def confidence_step(r: ColumnOrName, threshold: float = 2.0) -> Column:
     return F.when(r <= threshold, F.lit(0.0)).otherwise(r.cast("double"))
 
 
+# Fixed values (defaults of log_confidence): offset 1.005, scale 1e8, plus r.
 def log_confidence(r: ColumnOrName, scale: float = 1e8, add_linear: bool = True,
                    offset: float = 1.005) -> Column:
     """ln(offset + r*scale) + r.  X5 variants: ``scale=1, add_linear=True``
