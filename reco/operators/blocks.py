@@ -39,8 +39,16 @@ def min_blocks_for_parallelism(spark: SparkSession) -> int:
     return b
 
 
+MIN_BLOCK_ROWS = 256
+
+
 def n_blocks(spark: SparkSession, n: int, block_rows: int) -> int:
-    return max(1, min(max(1, n), max(math.ceil(n / block_rows), min_blocks_for_parallelism(spark))))
+    """Blocks of at most ``block_rows`` entities; more blocks for parallelism
+    only while each keeps at least MIN_BLOCK_ROWS entities (a large cluster
+    must not shred a small catalog into near-empty blocks)."""
+    need = math.ceil(max(1, n) / block_rows)
+    par = min(min_blocks_for_parallelism(spark), math.ceil(max(1, n) / MIN_BLOCK_ROWS))
+    return max(1, min(max(1, n), max(need, par)))
 
 
 def block_of(col: str, n: int, seed: int = 0):
@@ -483,7 +491,8 @@ def _choose_blocks(n_l: int, n_r: int, rows_l: int, rows_r: int, max_cell: int,
     best = None
     for bl in range(1, max(1, min(n_l, 4096)) + 1):
         br = max(1, math.ceil(math.ceil(n_l / bl) * n_r / max_cell))
-        br = min(max(br, math.ceil(2 * par / bl)), max(1, n_r))
+        spread = min(math.ceil(2 * par / bl), math.ceil(n_r / MIN_BLOCK_ROWS))
+        br = min(max(br, spread), max(1, n_r))
         cost = rows_l * br + rows_r * bl
         if best is None or cost < best[0]:
             best = (cost, bl, br)
