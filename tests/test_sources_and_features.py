@@ -63,3 +63,33 @@ def test_percent_expression_and_cosine_identities(spark):
     df = spark.createDataFrame([(0.3,)], "c double")
     r = df.select(X.distance_to_weight(X.cosine_distance("c")).alias("w")).first()
     assert abs(r.w - 0.3) < 1e-15
+
+
+def test_nth_best_seller_empty_when_too_few_items(spark):
+    """The reference indexes row 101 and fails under 101 items; here the
+    result is simply empty."""
+    from reco.operators import popularity as PO
+    p = spark.createDataFrame([(1, i) for i in range(50)], "user_id long, item_id long")
+    assert PO.nth_best_seller(p, 101).count() == 0
+    assert PO.popularity_percent_ranks(p, 100).count() == 50
+
+
+def test_training_guard_small_classes(spark):
+    """Both classes need at least 5 rows; exactly 5 positives is
+    enough (the reference's `== 5` test rejected it)."""
+    from reco.operators.classify import class_guard
+    rows = [(1, 1)] * 10 + [(1, 0)] * 4 + [(2, 1)] * 5 + [(2, 0)] * 7
+    df = spark.createDataFrame(rows, "user_id long, label int")
+    g = {r.user_id: r.trainable for r in class_guard(df).collect()}
+    assert g == {1: False, 2: True}
+
+
+def test_negative_numerator_gives_no_prediction(spark):
+    """With negative content weights the numerator can be <= 0;
+    such pairs get no prediction at all."""
+    from reco.operators import neighborhood as NB
+    ratings = spark.createDataFrame([(1, 10, 5.0), (1, 11, 1.0)], "user_id long, item_id long, rating double")
+    nb = spark.createDataFrame([(20, 10, -0.5), (20, 11, 0.2), (21, 10, 0.5)], "e1 long, e2 long, weight double")
+    got = {(r.user_id, r.item_id): r.pred for r in NB.knn_predictions(nb, ratings, "item").collect()}
+    # target 20: num = -0.5*5 + 0.2*1 = -2.3 -> dropped; target 21: 0.5*5/0.5 = 5
+    assert got == {(1, 21): 5.0}
