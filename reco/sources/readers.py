@@ -65,8 +65,11 @@ def read_purchases_csv(spark: SparkSession, path: str, drop_header_twins: bool =
         df = spark.read.schema(PURCHASE_SCHEMA).option("header", True).csv(path)
         return df
     lines = spark.read.text(path)
-    header = lines.limit(1)
-    body = lines.join(header, "value", "left_anti")
+    # the first line of the first input partition (what a `take(1)` returns):
+    # the smallest monotonically increasing id, then drop every equal line
+    first = (lines.select("value", F.monotonically_increasing_id().alias("_pos"))
+             .orderBy("_pos").limit(1).select("value"))
+    body = lines.join(F.broadcast(first), "value", "left_anti")  # one row
     parts = F.split(F.col("value"), ",")
     return body.select(parts.getItem(0).alias("user_id"), parts.getItem(1).alias("item_id"))
 
