@@ -182,3 +182,38 @@ def _e9(f: Fx):
 def _k4(f: Fx):
     """K4: LSH approximate top-10 neighbours of every embedding vector."""
     return ann_neighbors(fx.vectors(f.t), k=10)
+
+
+@query("m12_m14_explicit_best_refit_test")
+def _m12_m14(f: Fx):
+    """M12 + A21 + A22 + M14 (D20): grid over repeated re-splits of the
+    training data, best point by mean RMSE (first point on ties), refit on the
+    whole training split with it, RMSE/MAE on the test split."""
+    train, test = _explicit_split(f)
+    res = FA.explicit_grid(train, SUB_GRID_EXPLICIT["ranks"], SUB_GRID_EXPLICIT["regs"],
+                           SUB_GRID_EXPLICIT["repeats"], seed=1, max_iter=10)
+    avg = EV.average_by_point(res, ["rank", "reg"], ["rmse", "mae"])
+    best = EV.best_point(avg, "rmse", ["rank", "reg"]).first()
+    m = FA.fit_explicit(train, int(best["rank"]), ALS["max_iter"], float(best["reg"]), ALS["seed"])
+    e = FA.evaluate_explicit(m, test).first()
+    return f.spark.createDataFrame(
+        [(int(best["rank"]), float(best["reg"]), float(best["rmse"]), float(e["rmse"]), float(e["mae"]),
+          int(e["n_pairs"]))],
+        "rank int, reg double, val_rmse double, test_rmse double, test_mae double, n_pairs long")
+
+
+@query("m13_m14_implicit_best_refit_test")
+def _m13_m14(f: Fx):
+    """M13 + A22 + M14 (implicit): grid on validation MPR, best point (lowest
+    MPR, first on ties), retrain with it, MPR on the test split (both
+    denominators, D14)."""
+    train, val, test = _implicit_splits(f)
+    res = FA.implicit_grid(train, val, SUB_GRID_IMPLICIT["ranks"], SUB_GRID_IMPLICIT["regs"],
+                           SUB_GRID_IMPLICIT["alphas"], max_iter=IMPLICIT_ITER)
+    best = EV.best_point(res, "mpr", ["rank", "reg", "alpha"]).first()
+    m = FA.fit_implicit(train, int(best["rank"]), IMPLICIT_ITER, float(best["reg"]), 32, alpha=float(best["alpha"]))
+    t = FA.evaluate_implicit(m, test, denominator="all").first()
+    return f.spark.createDataFrame(
+        [(int(best["rank"]), float(best["reg"]), float(best["alpha"]), float(best["mpr"]), float(t["mpr"]),
+          int(t["n_joined"]), int(t["n_all"]))],
+        "rank int, reg double, alpha double, val_mpr double, test_mpr double, n_joined long, n_all long")
