@@ -136,3 +136,22 @@ def pca_with_values(coords: DataFrame, values: DataFrame, on: str = "id") -> Dat
     """PCA coordinates joined with a per-item value (rating, or distance
     to a reference item) -- the data behind the notebook's scatter plots."""
     return coords.join(values, on)
+
+
+def distance_to_item(catalog: DataFrame, ref_id: int, missing_as_category: bool = True) -> DataFrame:
+    """Cosine distance 2(1 - cos) of every item's content vector to one
+    reference item (E9's colouring): the reference vector is one row used as
+    literals in a column expression -- a single pass, no pairs."""
+    f = content_features(catalog, missing_as_category)
+    ref = f.filter(F.col("id") == F.lit(ref_id)).first()
+    if ref is None:
+        return f.select("id", F.lit(None).cast("double").alias("distance")).limit(0)
+    dot = sum((F.col(z) * F.lit(float(ref[z])) for z in Z_COLS), F.lit(0.0))
+    for c in CATEGORY_FEATURES:
+        dot = dot + F.when(F.col(c) == F.lit(ref[c]), 1.0).otherwise(0.0) if ref[c] is not None else dot
+    n_ref = sum(float(ref[z]) ** 2 for z in Z_COLS) + sum(1 for c in CATEGORY_FEATURES if ref[c] is not None)
+    nn = sum((F.col(z) * F.col(z) for z in Z_COLS), F.lit(0.0))
+    for c in CATEGORY_FEATURES:
+        nn = nn + F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0)
+    cos = dot / (F.sqrt(nn) * F.lit(n_ref ** 0.5))
+    return f.select("id", (2.0 * (1.0 - cos)).alias("distance"))

@@ -217,3 +217,13 @@ def _m13_m14(f: Fx):
         [(int(best["rank"]), float(best["reg"]), float(best["alpha"]), float(best["mpr"]), float(t["mpr"]),
           int(t["n_joined"]), int(t["n_all"]))],
         "rank int, reg double, alpha double, val_mpr double, test_mpr double, n_joined long, n_all long")
+
+
+@query("e9_pca_with_distance")
+def _e9d(f: Fx):
+    """PCA coordinates coloured by content distance to a reference item
+    (the item with the most ratings, smallest id on ties)."""
+    from pyspark.sql import functions as F
+    ref = f.catalog.orderBy(F.col("number_of_ratings").desc(), F.col("id").asc()).first()["id"]
+    coords, _ = FE.pca_coordinates(f.catalog, 2)
+    return FE.pca_with_values(coords, FE.distance_to_item(f.catalog, int(ref)))

@@ -81,3 +81,17 @@ def test_block_diagonal_mllib_matches_per_user_newton(spark):
     b = {(r.user_id, r.j): r.coef for r in ml["coefficients"].collect()}
     assert set(a) == set(b) and len(a) > 0
     assert max(abs(a[x] - b[x]) for x in a) < 1e-3
+
+
+def test_distance_to_item_matches_engine(spark):
+    """E9 distance column equals the K1 engine's distance for the same pair."""
+    from reco.operators import features as FE
+    from reco.operators.similarity import content_similarity
+    from reco.plans.registry import Fx
+    from tests.conftest import SF_SMALL
+    f = Fx(spark, SF_SMALL)
+    ref = f.catalog.orderBy("id").first()["id"]
+    d = {r.id: r.distance for r in FE.distance_to_item(f.catalog, int(ref)).collect()}
+    sim = content_similarity(f.catalog, top_k=None).filter(f"item1 = {ref}").collect()
+    assert sim and all(abs(d[r.item2] - r.score) < 1e-9 for r in sim)
+    assert abs(d[ref]) < 1e-9
