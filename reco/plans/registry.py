@@ -28,7 +28,7 @@ from reco.operators.ranking import rank_in_group
 from reco.operators.similarity import content_similarity, rating_similarity
 from reco.plans import serve
 from reco.deploy import ship_package
-from reco.session import ensure_checkpoint_dir
+from reco.session import app_scratch_dir, ensure_checkpoint_dir
 from reco.sources import readers as RD
 from reco.sources import sinks as SK
 from reco.tables import Tables
@@ -112,7 +112,7 @@ def query(name: str, sql: str | None = None):
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{what}-{uuid.uuid4().hex}"
+    return f"{app_scratch_dir(spark).rstrip('/')}/exports/{what}-{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------------------

@@ -70,3 +70,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def app_scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder under the shared checkpoint directory
+    (Spark creates one per application)."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Delete this application's checkpoint folder (checkpoints and scratch
+    exports) through the Hadoop FileSystem API, so it works for any shared FS
+    URI.  Call at the end of a job, after every result has been consumed."""
+    d = spark.sparkContext.getCheckpointDir()
+    if not d:
+        return
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(d)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
