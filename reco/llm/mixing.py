@@ -56,12 +56,20 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int
     return w.withColumn("target", F.least(cap, F.col("weight") * (level or 0.0)))
 
 
+def proportional(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The same share of every length, for most of the budget: an eighth (at
+    most the programme's budget, at least two of the longest documents) is left
+    to be fitted."""
+    total = int((lengths * counts).sum())
+    left = max(min(budget // 8, DP_BUDGET), 2 * int(lengths.max()))
+    return np.array([int(c) * max(0, budget - left) // total for c in counts], dtype=np.int64)
+
+
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that the lengths add up to
     ``budget`` as nearly as possible, never above it (lengths distinct and
     positive, ``0 <= budget <= sum``)."""
-    total = int((lengths * counts).sum())
-    take = np.array([int(c) * budget // total for c in counts], dtype=np.int64) if total else counts * 0
+    take = proportional(lengths, counts, budget)
     rest = budget - int((lengths * take).sum())
     for i in np.argsort(-lengths, kind="stable"):      # long documents first, down to the programme's budget
         if rest <= DP_BUDGET:
