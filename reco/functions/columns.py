@@ -6,6 +6,8 @@ whole-stage codegen; none is a Python UDF.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, functions as F
 
 ColumnOrName = Column | str
@@ -15,26 +17,11 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def split_fields(line: ColumnOrName, sep: str = ",") -> Column:
-    """``line.split(",")``."""
-    return F.split(_c(line), sep)
-
-
 def to_int(x: ColumnOrName) -> Column:
     """``int(x)``; malformed input becomes null instead of failing."""
     return _c(x).try_cast("int")
 
 
-def to_double(x: ColumnOrName) -> Column:
-    """``float(x)``."""
-    return _c(x).try_cast("double")
-
-
-def to_str(x: ColumnOrName) -> Column:
-    """``str(x)``."""
-    return _c(x).cast("string")
-
-
 def confidence_step(r: ColumnOrName, threshold: float = 2.0) -> Column:
     """R <= threshold -> 0, otherwise r."""
     r = _c(r)
@@ -105,12 +92,25 @@ def percent_rank_expr(position: ColumnOrName, n: ColumnOrName, inclusive: bool =
     return F.when(n <= 1, F.lit(0.0)).otherwise(100.0 * (i - 1) / (n - 1))
 
 
-def hash_bucket(cols: list[ColumnOrName], seed: int = 0, buckets: int = 100,
-                multipliers: tuple[int, ...] = (7919, 104729)) -> Column:
-    """Deterministic split bucket in [0, buckets): pmod(sum(col_i*m_i) + seed,
-    buckets).  Plain integer arithmetic, so the same split is reproducible in
+SPLIT_PRIME = 2147483647  # 2^31 - 1
+
+
+def split_multipliers(seed: int, salt: int = 0, n: int = 2) -> list[int]:
+    """``n`` multipliers and an offset below ``SPLIT_PRIME``, all drawn from
+    (seed, salt), so that splits of different seeds are independent and an
+    inner split (another salt) is independent of the outer one of its seed."""
+    rng = random.Random(f"split-{salt}-{seed}")
+    return [rng.randrange(1, SPLIT_PRIME) for _ in range(n)] + [rng.randrange(SPLIT_PRIME)]
+
+
+def hash_bucket(cols: list[ColumnOrName], seed: int = 0, buckets: int = 100, salt: int = 0) -> Column:
+    """Deterministic split bucket in [0, buckets): a pairwise independent hash
+    ``((sum(col_i * m_i) + c) mod p) mod buckets`` whose multipliers come from
+    the seed.  Plain integer arithmetic, so the same split is reproducible in
     any SQL engine and under task retries (M18, SURVEY §7.4)."""
-    acc = F.lit(int(seed)).cast("long")
+    *multipliers, acc = split_multipliers(seed, salt, len(cols))
+    p = F.lit(SPLIT_PRIME).cast("long")
+    acc = F.lit(acc).cast("long")
     for c, m in zip(cols, multipliers):
-        acc = acc + _c(c).cast("long") * F.lit(int(m))
-    return F.pmod(acc, F.lit(buckets))
+        acc = acc + F.pmod(F.pmod(_c(c).cast("long"), p) * F.lit(m).cast("long"), p)
+    return F.pmod(F.pmod(acc, p), F.lit(buckets))

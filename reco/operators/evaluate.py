@@ -14,16 +14,16 @@ from reco.functions.columns import abs_error, hash_bucket, percent_rank_expr, sq
 from reco.operators.ranking import rank_in_group
 
 
-def hash_split(df: DataFrame, seed: int = 0, train_pct: int = 80,
-               keys=("user_id", "item_id")) -> tuple[DataFrame, DataFrame]:
-    """Deterministic train/test split on the key (same split in SQL)."""
-    b = hash_bucket(list(keys), seed)
-    return df.filter(b < train_pct), df.filter(b >= train_pct)
+INNER = 1  # salt of splits inside a training set
 
 
-def random_split(df: DataFrame, weights: list[float], seed: int) -> list[DataFrame]:
-    """The reference's seeded ``randomSplit`` (row-order dependent)."""
-    return df.randomSplit(weights, seed)
+def hash_split(df: DataFrame, seed: int = 0, train_pct: int = 80, keys=("user_id", "item_id"),
+               salt: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Deterministic train/test split on the key (same split in SQL).
+    Splits of different seeds are independent; a split inside a training set
+    takes another ``salt``, so it is independent of the outer one too."""
+    b = hash_bucket(list(keys), seed, salt=salt)
+    return df.filter(b < train_pct), df.filter(b >= train_pct)
 
 
 def error_metrics(scored: DataFrame, actual: str = "rating", pred: str = "pred") -> DataFrame:
@@ -62,11 +62,6 @@ def mpr(scored: DataFrame, held_out: DataFrame | None = None, denominator: str =
                     F.lit(row["den_all"]).alias("den_all"), F.lit(row["n_all"]).cast("bigint").alias("n_all"))
 
 
-def sum_of(df: DataFrame, col: str = "rating") -> DataFrame:
-    """Total weight of a split."""
-    return df.agg(F.sum(col).alias(f"sum_{col}"))
-
-
 def average_by_point(results: DataFrame, point_cols: list[str], metrics: list[str]) -> DataFrame:
     """Mean of each metric over repeats, per parameter point."""
     return results.groupBy(*point_cols).agg(*[F.avg(m).alias(m) for m in metrics],
