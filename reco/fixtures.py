@@ -13,7 +13,7 @@ from reco.operators.aggregates import latest_per_key
 from reco.tables import Tables
 
 # Flavor ids by part type, as bound in FIXTURES.md.
-FLAVOR_IDS = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5}
+FLAVOR_IDS = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "STANDARD": 6}
 # Recency tier boundaries of the purchase fixture.
 TIER_RECENT_FROM = "1998-01-01"
 TIER_MORE_RECENT_FROM = "2000-01-01"
@@ -57,13 +57,13 @@ def flavors(t: Tables) -> DataFrame:
     # The distinct type set is bounded by the number of part types, so the
     # un-partitioned window below sees a handful of rows.
     from pyspark.sql import Window
-    d = t.part.select("p_type").distinct().filter(F.col("p_type") != "STANDARD")
+    d = t.part.select("p_type").distinct()
     return d.select(F.row_number().over(Window.orderBy("p_type")).alias("id"),
                     F.col("p_type").alias("name"))
 
 
 def styles(t: Tables) -> DataFrame:
-    return (t.part.filter(F.col("p_size") <= 40).select("p_size").distinct()
+    return (t.part.select("p_size").distinct()
             .select(F.col("p_size").alias("id"),
                     F.concat(F.lit("STYLE_"), F.col("p_size").cast("string")).alias("name")))
 
@@ -71,7 +71,7 @@ def styles(t: Tables) -> DataFrame:
 def beers(t: Tables) -> DataFrame:
     """Item source table; the rating statistics are aggregated per part before
     the (1:1) left join, so the join never sees lineitem rows."""
-    li = (t.lineitem.filter(F.col("l_tax") < 0.01)
+    li = (t.lineitem
           .groupBy("l_partkey")
           .agg(F.avg(F.ceil(F.col("l_quantity") / 10).cast("double")).alias("average_rating"),
                F.count("l_partkey").alias("number_of_ratings"),
@@ -156,14 +156,14 @@ FIXTURE_SQL: dict[str, str] = {
     "origins": "SELECT n_nationkey AS id, n_name AS name FROM nation",
     "flavors": """
   SELECT CAST(row_number() OVER (ORDER BY p_type) AS INT) AS id, p_type AS name
-  FROM (SELECT DISTINCT p_type FROM part) t WHERE p_type <> 'STANDARD'""",
+  FROM (SELECT DISTINCT p_type FROM part) t""",
     "styles": """
   SELECT DISTINCT p_size AS id, concat('STYLE_', CAST(p_size AS VARCHAR)) AS name
-  FROM part WHERE p_size <= 40""",
+  FROM part""",
     "beers": """
   SELECT p_partkey AS id, CAST(substr(p_brand,7) AS INT) AS brand_id,
          CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3
-                     WHEN 'PROMO' THEN 4 WHEN 'SMALL' THEN 5 END AS flavor_id,
+                     WHEN 'PROMO' THEN 4 WHEN 'SMALL' THEN 5 WHEN 'STANDARD' THEN 6 END AS flavor_id,
          p_size AS style_id,
          avg(ceil(l_quantity/10)) AS average_rating,
          count(l_partkey) AS number_of_ratings,
@@ -171,7 +171,7 @@ FIXTURE_SQL: dict[str, str] = {
          avg(1 + l_quantity/12.5) AS average_appearance_rating,
          avg(CAST(l_linenumber AS DOUBLE)) AS average_taste_rating,
          CAST(p_size AS DOUBLE)/10 AS average_body_rating
-  FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_tax < 0.01) l ON l_partkey = p_partkey
+  FROM part LEFT JOIN lineitem ON l_partkey = p_partkey
   GROUP BY p_partkey, p_brand, p_type, p_size""",
     "users": """
   SELECT c_custkey AS id, c_name AS first_name, c_mktsegment AS last_name,
