@@ -32,18 +32,24 @@ def one_hot_long(df: DataFrame, id_col: str, cat_cols: list[str]) -> DataFrame:
 
 def feature_stats(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and sample std of each column: one aggregate row of 2*len(cols)
-    numbers (bounded by the column count, not by the data)."""
+    numbers (bounded by the column count, not by the data).  An empty column
+    or one with a single row has mean 0 or std 0."""
     row = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"),
                                              F.stddev_samp(c).alias(f"s_{c}"))]).first()
-    return {c: (float(row[f"m_{c}"]), float(row[f"s_{c}"])) for c in cols}
+    return {c: (float(row[f"m_{c}"] or 0.0), float(row[f"s_{c}"] or 0.0)) for c in cols}
 
 
 def standardize(df: DataFrame, cols: list[str], stats: dict | None = None,
                 prefix: str = "z_") -> DataFrame:
-    """Z-score each column with the sample std (ddof=1)."""
+    """Z-score each column with the sample std (ddof=1).  A column without
+    spread has z = 0."""
     stats = stats or feature_stats(df, cols)
-    return df.select("*", *[((F.col(c) - F.lit(stats[c][0])) / F.lit(stats[c][1])).alias(prefix + c)
-                            for c in cols])
+
+    def z(c: str):
+        mean, sd = stats[c]
+        return ((F.col(c) - F.lit(mean)) / F.lit(sd) if sd else F.lit(0.0)).alias(prefix + c)
+
+    return df.select("*", *[z(c) for c in cols])
 
 
 def content_features(catalog: DataFrame, missing_as_category: bool = True) -> DataFrame:
@@ -72,8 +78,10 @@ def content_vectors_long(catalog: DataFrame, missing_as_category: bool = True) -
 
 
 def l2_normalize(long_df: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """Divide each vector by its L2 norm (norm joined after aggregation)."""
-    norms = long_df.groupBy(key).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
+    """Divide each vector by its L2 norm (norm joined after aggregation).
+    A zero vector has no direction and is dropped."""
+    norms = (long_df.groupBy(key).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
+             .filter(F.col("_norm") > 0))
     return (long_df.join(norms, key)
             .withColumn(value, F.col(value) / F.col("_norm")).drop("_norm"))
 
@@ -132,6 +140,25 @@ def pca_coordinates(catalog: DataFrame, k: int = 2):
     return coords, list(model.stages[-1].explainedVariance.toArray())
 
 
+def covariance_long(catalog: DataFrame) -> DataFrame:
+    """Sample covariance (dim1, dim2, cov) of the raw numeric features and
+    one-hot categories, for pairs of dimensions with a non-zero product sum.
+    An item has few non-zero dimensions, so the self-join on the id makes a
+    bounded number of products an item, summed before the shuffle."""
+    c = fill_missing(catalog)
+    num = c.select("id", F.explode(F.array(*[F.struct(F.lit(x).alias("dim"), F.col(x).cast("double").alias("value"))
+                                             for x in NUMERIC_FEATURES])).alias("_f")).select("id", "_f.dim", "_f.value")
+    v = num.unionByName(one_hot_long(c, "id", CATEGORY_FEATURES))
+    n = c.count()
+    sums = v.groupBy("dim").agg(F.sum("value").alias("s"))
+    p = (v.select("id", F.col("dim").alias("dim1"), F.col("value").alias("a"))
+         .join(v.select("id", F.col("dim").alias("dim2"), F.col("value").alias("b")), "id")
+         .groupBy("dim1", "dim2").agg(F.sum(F.col("a") * F.col("b")).alias("p")).filter("p <> 0"))
+    j = (p.join(sums.select(F.col("dim").alias("dim1"), F.col("s").alias("s1")), "dim1")
+         .join(sums.select(F.col("dim").alias("dim2"), F.col("s").alias("s2")), "dim2"))
+    return j.select("dim1", "dim2", ((F.col("p") - F.col("s1") * F.col("s2") / F.lit(n)) / F.lit(n - 1)).alias("cov"))
+
+
 def pca_with_values(coords: DataFrame, values: DataFrame, on: str = "id") -> DataFrame:
     """PCA coordinates joined with a per-item value (rating, or distance
     to a reference item) -- the data behind the notebook's scatter plots."""
