@@ -9,8 +9,10 @@ then distributes it to every executor, including ones started later.
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -39,6 +41,7 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     d = tempfile.mkdtemp(prefix="reco-pyfiles-")  # driver-side staging; Spark serves it to executors
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
     path = os.path.join(d, "reco.zip")
     with open(path, "wb") as fh:
         fh.write(package_zip())

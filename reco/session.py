@@ -59,12 +59,15 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use ``spark.checkpoint.dir`` when the cluster sets it; otherwise (local
-    runs and tests only) create a fresh scratch folder."""
+    """Use ``spark.checkpoint.dir`` when the cluster sets it; otherwise create a
+    fresh scratch folder on a ``local`` master (runs and tests on one machine),
+    and raise on any other."""
     d = spark.conf.get(CHECKPOINT_CONF, None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="reco-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, d)
     if not spark.sparkContext.getCheckpointDir():
