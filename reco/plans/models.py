@@ -1,9 +1,8 @@
 """Model-based registered queries (ALS, classifiers, PCA, LSH).
 
 Their values depend on iterative solvers, so they have no SQL twin and are
-checked rows-only by the driver and by property tests (tests/).  The heavy
-parameter grids run a small sub-grid here; the full reference grids are the
-defaults of ``explicit_grid`` / ``implicit_grid``.
+checked rows-only by the driver and by property tests (tests/).  Grids,
+iterations and repeats are the reference's.
 """
 
 from __future__ import annotations
@@ -22,9 +21,8 @@ from reco.plans.registry import SPLIT_SEED, Fx, query
 from reco import fixtures as fx
 
 ALS = FA.EXPLICIT_DEFAULTS
-SUB_GRID_EXPLICIT = {"ranks": [5, 10], "regs": [0.1, 1.0], "repeats": 2}
-SUB_GRID_IMPLICIT = {"ranks": [20], "regs": [1.0, 4.0], "alphas": [1.0, 10.0]}
-IMPLICIT_ITER = 10
+IMPLICIT_ITER = 20
+RUNS = [0, 1, 2, 3, 4]  # split seeds of M19's runs
 
 
 def _explicit_split(f: Fx):
@@ -70,8 +68,7 @@ def _m12(f: Fx):
     """M12 + A21 + A22: explicit ALS grid with repeated deterministic
     re-splits; averaged per point, best point flagged."""
     train, _ = _explicit_split(f)
-    res = FA.explicit_grid(train, SUB_GRID_EXPLICIT["ranks"], SUB_GRID_EXPLICIT["regs"],
-                           SUB_GRID_EXPLICIT["repeats"], seed=1, max_iter=10)
+    res = FA.explicit_grid(train, seed=1)
     avg = EV.average_by_point(res, ["rank", "reg"], ["rmse", "mae"])
     best = EV.best_point(avg, "rmse", ["rank", "reg"]).select("rank", "reg", F.lit(True).alias("best"))
     return avg.join(best, ["rank", "reg"], "left").withColumn("best", F.coalesce("best", F.lit(False)))
@@ -90,15 +87,14 @@ def _m8(f: Fx):
 def _m13(f: Fx):
     """Implicit ALS grid (rank x reg x alpha), validation MPR, best flagged."""
     train, val, _ = _implicit_splits(f)
-    res = FA.implicit_grid(train, val, SUB_GRID_IMPLICIT["ranks"], SUB_GRID_IMPLICIT["regs"],
-                           SUB_GRID_IMPLICIT["alphas"], max_iter=IMPLICIT_ITER)
+    res = FA.implicit_grid(train, val, max_iter=IMPLICIT_ITER)
     best = EV.best_point(res, "mpr", ["rank", "reg", "alpha"]).select("rank", "reg", "alpha", F.lit(True).alias("best"))
     return res.join(best, ["rank", "reg", "alpha"], "left").withColumn("best", F.coalesce("best", F.lit(False)))
 
 
 @query("m19_repeat_eval")
 def _m19(f: Fx):
-    """The implicit job repeated on three different splits; mean/std."""
+    """The implicit job repeated on five independent splits; mean/std."""
     inter = IN.build_interactions(f.purchases_fine).persist()
 
     def run(seed):
@@ -106,23 +102,15 @@ def _m19(f: Fx):
         m = FA.fit_implicit(IN.confidence_transform(train), 8, IMPLICIT_ITER, 1.0, 32, alpha=1.0)
         return FA.evaluate_implicit(m, test, "all").first()["mpr"]
 
-    res = FA.repeat_eval(run, [0, 1, 2])
+    res = FA.repeat_eval(run, RUNS)
     out = EV.summarize_runs(res, "metric")
     out = f.spark.createDataFrame(out.toPandas())
     inter.unpersist()
     return out
 
 
-_M16_CACHE: dict = {}
-
-
 def _m16_result(f: Fx):
-    """Both M16 and K5 use the same fit; keep it per (session, tables)."""
-    key = (id(f.spark), f.t.sf_dir)
-    if key not in _M16_CACHE:
-        _M16_CACHE.clear()
-        _M16_CACHE[key] = CL.per_user_logistic(f.ratings, f.catalog, 50, 100, folds=5)
-    return _M16_CACHE[key]
+    return CL.per_user_logistic(f.ratings, f.catalog, 50, 100, folds=5)
 
 
 @query("m16_per_user_logistic")
@@ -190,8 +178,7 @@ def _m12_m14(f: Fx):
     training data, best point by mean RMSE (first point on ties), refit on the
     whole training split with it, RMSE/MAE on the test split."""
     train, test = _explicit_split(f)
-    res = FA.explicit_grid(train, SUB_GRID_EXPLICIT["ranks"], SUB_GRID_EXPLICIT["regs"],
-                           SUB_GRID_EXPLICIT["repeats"], seed=1, max_iter=10)
+    res = FA.explicit_grid(train, seed=1)
     avg = EV.average_by_point(res, ["rank", "reg"], ["rmse", "mae"])
     best = EV.best_point(avg, "rmse", ["rank", "reg"]).first()
     m = FA.fit_explicit(train, int(best["rank"]), ALS["max_iter"], float(best["reg"]), ALS["seed"])
@@ -208,8 +195,7 @@ def _m13_m14(f: Fx):
     MPR, first on ties), retrain with it, MPR on the test split (both
     denominators, D14)."""
     train, val, test = _implicit_splits(f)
-    res = FA.implicit_grid(train, val, SUB_GRID_IMPLICIT["ranks"], SUB_GRID_IMPLICIT["regs"],
-                           SUB_GRID_IMPLICIT["alphas"], max_iter=IMPLICIT_ITER)
+    res = FA.implicit_grid(train, val, max_iter=IMPLICIT_ITER)
     best = EV.best_point(res, "mpr", ["rank", "reg", "alpha"]).first()
     m = FA.fit_implicit(train, int(best["rank"]), IMPLICIT_ITER, float(best["reg"]), 32, alpha=float(best["alpha"]))
     t = FA.evaluate_implicit(m, test, denominator="all").first()
