@@ -61,6 +61,13 @@ class Fx:
     def ratings(self) -> DataFrame:
         return fx.ratings(self.t)
 
+    @cached_property
+    def ratings_once(self) -> DataFrame:
+        """The ratings for a query that reads them several times: worked out
+        once and kept in the shared folder."""
+        ensure_checkpoint_dir(self.spark)
+        return self.ratings.select("user_id", "item_id", "rating").checkpoint(eager=True)
+
     @cached_property
     def catalog(self) -> DataFrame:
         t = self.t
@@ -193,8 +200,11 @@ def _inter_ctes(src: str) -> list[tuple[str, str]]:
     return [(k, v.format(src=src)) for k, v in _INTER_BODY.items()]
 
 
-def _bucket(seed: int) -> str:
-    return f"((CAST(user_id AS BIGINT)*7919 + CAST(item_id AS BIGINT)*104729 + {seed}) % 100)"
+def _bucket(seed: int, buckets: int = 100, cols: tuple = ("user_id", "item_id")) -> str:
+    *m, c = X.split_multipliers(seed, n=len(cols))
+    p = X.SPLIT_PRIME
+    terms = " + ".join(f"(CAST({col} AS BIGINT) % {p}) * {k} % {p}" for col, k in zip(cols, m))
+    return f"(({terms} + {c}) % {p} % {buckets})"
 
 
 # ---------------------------------------------------------------------------
@@ -447,9 +457,7 @@ def _e6(f: Fx):
 def _e6b(f: Fx):
     """E6 with the mean-centering option (the commented-out variant);
     constant vectors have no direction and are dropped."""
-    v = FE.rating_vectors(f.ratings, "item", center=True, normalize=False)
-    n = v.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_n")).filter(F.col("_n") > 0)
-    return v.join(n, "id").select("id", "dim", (F.col("value") / F.col("_n")).alias("value"))
+    return FE.rating_vectors(f.ratings, "item", center=True)
 
 
 @query("e7_dense_item_index", cte("ratings") + "SELECT item_id, dense_rank() OVER (ORDER BY item_id) - 1 AS idx "
@@ -501,43 +509,50 @@ _M6_CTES = _rating_sim_ctes("user", RATING_K, "u") + _pred_ctes(
 def _m4r(f: Fx):
     """M4 + J7 + A11 + F11 + J8 + W5 + S9: content item kNN (k=200),
     top 30 unseen items per user."""
-    nb, by = NB.neighbors_for("content", f.ratings, f.catalog, CONTENT_K)
-    return NB.knn_recommendations(nb, f.ratings, by, RECO_TOP_CONTENT)
+    nb, by = NB.neighbors_for("content", f.ratings_once, f.catalog, CONTENT_K)
+    return NB.knn_recommendations(nb, f.ratings_once, by, RECO_TOP_CONTENT)
 
 
 @query("m4_content_knn_mae", cte("catalog", "ratings", extra=_M4_CTES) + _MAE_SQL)
 def _m4e(f: Fx):
     """M4 + J9 + A12: MAE of content kNN on already-rated pairs."""
-    nb, by = NB.neighbors_for("content", f.ratings, f.catalog, CONTENT_K)
-    return NB.knn_mae(nb, f.ratings, by)
+    nb, by = NB.neighbors_for("content", f.ratings_once, f.catalog, CONTENT_K)
+    return NB.knn_mae(nb, f.ratings_once, by)
+
+
+def _knn_recs(f: Fx, kind: str) -> DataFrame:
+    """J7, A11, F11, J8, W5 as joins and aggregates over k=10 neighbours."""
+    nb, by = NB.neighbors_for(kind, f.ratings_once, k=RATING_K)
+    return NB.top_recommendations(NB.join_predictions(nb, f.ratings_once, by), f.ratings_once, RECO_TOP_RATING)
+
+
+def _knn_mae(f: Fx, kind: str) -> DataFrame:
+    nb, by = NB.neighbors_for(kind, f.ratings_once, k=RATING_K)
+    return NB.prediction_mae(NB.join_predictions(nb, f.ratings_once, by), f.ratings_once)
 
 
 @query("m5_item_knn_recs", cte("ratings", extra=_M5_CTES) + _recs_sql(RECO_TOP_RATING))
 def _m5r(f: Fx):
     """M5: item kNN over rating vectors (k=10), top 50 unseen per user."""
-    nb, by = NB.neighbors_for("item", f.ratings, k=RATING_K)
-    return NB.knn_recommendations(nb, f.ratings, by, RECO_TOP_RATING)
+    return _knn_recs(f, "item")
 
 
 @query("m5_item_knn_mae", cte("ratings", extra=_M5_CTES) + _MAE_SQL)
 def _m5e(f: Fx):
     """M5 + J9 + A12."""
-    nb, by = NB.neighbors_for("item", f.ratings, k=RATING_K)
-    return NB.knn_mae(nb, f.ratings, by)
+    return _knn_mae(f, "item")
 
 
 @query("m6_user_knn_recs", cte("ratings", extra=_M6_CTES) + _recs_sql(RECO_TOP_RATING))
 def _m6r(f: Fx):
     """M6: user kNN over rating vectors (k=10), top 50 unseen per user."""
-    nb, by = NB.neighbors_for("user", f.ratings, k=RATING_K)
-    return NB.knn_recommendations(nb, f.ratings, by, RECO_TOP_RATING)
+    return _knn_recs(f, "user")
 
 
 @query("m6_user_knn_mae", cte("ratings", extra=_M6_CTES) + _MAE_SQL)
 def _m6e(f: Fx):
     """M6 + J9 + A12."""
-    nb, by = NB.neighbors_for("user", f.ratings, k=RATING_K)
-    return NB.knn_mae(nb, f.ratings, by)
+    return _knn_mae(f, "user")
 
 
 @query("m1_catalog_baseline_mae", cte("catalog", "ratings") + "SELECT round(avg(abs(r.rating - c.average_rating)), 6) "
@@ -735,25 +750,29 @@ def _a14(f: Fx):
 # ---------------------------------------------------------------------------
 # Q: serving
 
+GUEST_BASE = 1_000_000_000_000  # ids above it are not registered users
+
+
 @query("q1_recommend_for_users", cte("catalog", "ratings", "users", extra=_M5_CTES + [
+    ("req", f"SELECT id FROM users UNION ALL SELECT {GUEST_BASE} + s_suppkey FROM supplier"),
     ("rec", f"SELECT user_id, item_id, pred AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
             f"ORDER BY round(pred, 9) DESC, item_id) AS rank FROM (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 "
             f"FROM ratings r WHERE r.user_id = p.user_id AND r.item_id = p.item_id))) WHERE rank <= {SERVE_N}"),
     ("best", f"SELECT id AS item_id, average_rating AS score, row_number() OVER (ORDER BY average_rating DESC, id) "
              f"AS rank FROM catalog WHERE number_of_ratings > {MIN_SUPPORT} ORDER BY rank LIMIT {SERVE_N}")])
     + "SELECT u.id AS user_id, rec.item_id, round(rec.score, 6) AS score, rec.rank, 'personal' AS source "
-      "FROM users u JOIN rec ON rec.user_id = u.id "
-      "UNION ALL SELECT u.id, best.item_id, round(best.score, 6), best.rank, 'popular' FROM users u, best "
+      "FROM req u JOIN rec ON rec.user_id = u.id "
+      "UNION ALL SELECT u.id, best.item_id, round(best.score, 6), best.rank, 'popular' FROM req u, best "
       "WHERE u.id NOT IN (SELECT DISTINCT user_id FROM p WHERE NOT EXISTS (SELECT 1 FROM ratings r "
       "WHERE r.user_id = p.user_id AND r.item_id = p.item_id))")
 def _q1(f: Fx):
-    """Q1 + J13 + S10: top-10 for every registered user: stored item-kNN
-    recommendations, or the best-rated list for users without any."""
-    nb, by = NB.neighbors_for("item", f.ratings, k=RATING_K)
-    reco = NB.knn_recommendations(nb, f.ratings, by, RECO_TOP_RATING)
+    """Q1 + J13 + S10: top-10 for every registered user and as many unknown ids
+    as there are suppliers: rows of the stored item-kNN table (S9), or the
+    best-rated list for ids without any."""
     best = PO.best_rated(f.catalog, MIN_SUPPORT, SERVE_N)
-    req = f.users.select(F.col("id").alias("user_id"))
-    return serve.recommend_for_users(req, reco, best, SERVE_N)
+    guests = f.t.supplier.select((F.col("s_suppkey") + F.lit(GUEST_BASE)).alias("user_id"))
+    req = f.users.select(F.col("id").alias("user_id")).unionByName(guests)
+    return serve.recommend_for_users(req, _user_reco_table(f), best, SERVE_N)
 
 
 @query("q2_similar_items", cte("catalog", "ratings", extra=_content_ctes(SIM_TOP) + [
@@ -810,8 +829,7 @@ def _s8(f: Fx):
 
 def _user_reco_table(f: Fx) -> DataFrame:
     path = scratch_path(f.spark, "users-reco")
-    nb, by = NB.neighbors_for("item", f.ratings, k=RATING_K)
-    SK.write_table(NB.knn_recommendations(nb, f.ratings, by, RECO_TOP_RATING), path)
+    SK.write_table(_knn_recs(f, "item"), path)
     return SK.read_back(f.spark, path)
 
 
@@ -822,6 +840,15 @@ def _s9(f: Fx):
     return _user_reco_table(f)
 
 
+@query("s9_content_reco_table", cte("catalog", "ratings", extra=_M4_CTES) + _recs_sql(RECO_TOP_CONTENT))
+def _s9c(f: Fx):
+    """The per-user top-30 content table written whole and read back."""
+    path = scratch_path(f.spark, "users-content-reco")
+    nb, by = NB.neighbors_for("content", f.ratings_once, f.catalog, CONTENT_K)
+    SK.write_table(NB.knn_recommendations(nb, f.ratings_once, by, RECO_TOP_CONTENT), path)
+    return SK.read_back(f.spark, path)
+
+
 @query("s10_lookup_top_user", cte("ratings", extra=_M5_CTES + [
     ("top", "SELECT user_id FROM ratings GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1"),
     ("recs", _recs_sql(RECO_TOP_RATING))])
@@ -866,3 +893,139 @@ def _s3b(f: Fx):
 def _s3f(f: Fx):
     """S3: all flavors (dimension scan)."""
     return fx.flavors(f.t).select("id", "name")
+
+
+# ---------------------------------------------------------------------------
+# Exact twins of steps that follow a fitted model, on given inputs: scores and
+# coefficients come from the tables by the split hash, in 1024ths, so that
+# products are exact in both engines.
+
+GIVEN = 1024
+
+
+def _given(cols: list, seed: int):
+    return X.hash_bucket(cols, seed, GIVEN) / F.lit(float(GIVEN))
+
+
+def _given_sql(seed: int, *cols: str) -> str:
+    return f"({_bucket(seed, GIVEN, cols)} / {GIVEN}.0)"
+
+
+@query("a20_pooled_accuracy", cte("ratings") + "SELECT round(avg(CASE WHEN (rating > 3) = "
+       f"({_given_sql(11, 'user_id', 'item_id')} >= 0.5) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n_rows FROM ratings")
+def _a20(f: Fx):
+    """Pooled accuracy of given class predictions."""
+    p = f.ratings.select(X.preference("rating").alias("label"),
+                         (_given(["user_id", "item_id"], 11) >= 0.5).cast("int").alias("prediction"))
+    return EV.accuracy(p)
+
+
+_RUNS_SQL = [("sc", f"SELECT user_id % 3 AS rank, item_id % 4 AS reg, {_bucket(12, 10)} AS run, rating, "
+                    f"5 * {_given_sql(13, 'user_id', 'item_id')} AS pred FROM ratings"),
+             ("res", "SELECT rank, reg, run, sqrt(avg((rating - pred)*(rating - pred))) AS rmse, avg(abs(rating - pred)) AS mae "
+                     "FROM sc GROUP BY 1, 2, 3"),
+             ("av", "SELECT rank, reg, avg(rmse) AS rmse, avg(mae) AS mae, count(*) AS n_runs FROM res GROUP BY 1, 2"),
+             ("bp", "SELECT rank, reg FROM av ORDER BY rmse, rank, reg LIMIT 1")]
+
+
+@query("a21_a22_grid_average_best", cte("ratings", extra=_RUNS_SQL) + "SELECT av.rank, av.reg, round(rmse, 6) AS rmse, "
+       "round(mae, 6) AS mae, n_runs, bp.rank IS NOT NULL AS best FROM av LEFT JOIN bp ON av.rank = bp.rank AND av.reg = bp.reg")
+def _a21(f: Fx):
+    """A21 + A22: errors of given predictions per point and run, their means
+    per point, and the best point."""
+    s = f.ratings.select((F.col("user_id") % 3).alias("rank"), (F.col("item_id") % 4).alias("reg"),
+                         X.hash_bucket(["user_id", "item_id"], 12, 10).alias("run"), "rating",
+                         (5 * _given(["user_id", "item_id"], 13)).alias("pred"))
+    res = s.groupBy("rank", "reg", "run").agg(F.sqrt(F.avg(X.squared_error("rating", "pred"))).alias("rmse"),
+                                              F.avg(X.abs_error("rating", "pred")).alias("mae"))
+    avg = EV.average_by_point(res, ["rank", "reg"], ["rmse", "mae"])
+    best = EV.best_point(avg, "rmse", ["rank", "reg"]).select("rank", "reg", F.lit(True).alias("best"))
+    return avg.join(best, ["rank", "reg"], "left").withColumn("best", F.coalesce("best", F.lit(False)))
+
+
+@query("f7_pca_input", cte("catalog") + "SELECT id, country, flavor, style, number_of_ratings, "
+       "round(average_aroma_rating, 6) AS average_aroma_rating, round(average_appearance_rating, 6) AS average_appearance_rating, "
+       "round(average_taste_rating, 6) AS average_taste_rating, round(average_body_rating, 6) AS average_body_rating FROM catalog")
+def _f7(f: Fx):
+    """the catalog without the average rating (the id stays as row key)."""
+    return FE.drop_for_pca(f.catalog)
+
+
+_COV_DIMS = (" UNION ALL ".join(f"SELECT id, '{c}' AS dim, CAST(coalesce({c}, 0) AS DOUBLE) AS v FROM catalog" for c in _Z)
+             + "".join(f" UNION ALL SELECT id, '{c}_' || coalesce({c}, '0'), 1.0 FROM catalog" for c in FE.CATEGORY_FEATURES))
+
+
+@query("e8_covariance", cte("catalog", extra=[
+    ("lv", _COV_DIMS), ("nn", "SELECT count(*) AS n FROM catalog"), ("mu", "SELECT dim, sum(v) AS s FROM lv GROUP BY dim"),
+    ("pr", "SELECT a.dim AS dim1, b.dim AS dim2, sum(a.v*b.v) AS s FROM lv a JOIN lv b ON a.id = b.id GROUP BY 1, 2")])
+    + "SELECT m1.dim AS dim1, m2.dim AS dim2, round((coalesce(pr.s, 0) - m1.s*m2.s/n)/(n - 1), 6) AS cov "
+      "FROM mu m1 CROSS JOIN mu m2 CROSS JOIN nn LEFT JOIN pr ON pr.dim1 = m1.dim AND pr.dim2 = m2.dim "
+      "WHERE coalesce(pr.s, 0) <> 0")
+def _e8c(f: Fx):
+    """Covariance of the raw features and one-hot categories, for pairs of
+    dimensions that occur together."""
+    return FE.covariance_long(f.catalog)
+
+
+@query("j12_training_rows", cte("catalog", "ratings", extra=_content_ctes(1)[:4] + [
+    ("bu", f"SELECT user_id FROM ratings GROUP BY user_id HAVING count(*) > {BAND_LO} AND count(*) < {BAND_HI}")])
+    + "SELECT r.user_id, r.item_id, CASE WHEN r.rating > 3 THEN 1 ELSE 0 END AS label, "
+    + ", ".join(f"round(z{i}/sqrt(nn), 6) AS x{i}" for i in range(5))
+    + " FROM ratings r JOIN bu USING (user_id) JOIN czn ON czn.id = r.item_id")
+def _j12(f: Fx):
+    """J12 + X7 + F12: labelled rows of the activity band with the item's unit
+    content vector (its numeric part shown)."""
+    from pyspark.ml.functions import vector_to_array
+    from reco.operators.classify import band_users, training_rows
+    t = training_rows(f.ratings_once, f.catalog, band_users(f.ratings_once, BAND_LO, BAND_HI))
+    x = vector_to_array("x")
+    return t.select("user_id", "item_id", "label", *[x[i].alias(f"x{i}") for i in range(5)])
+
+
+_K5_DIMS = (" UNION ALL ".join(f"SELECT id, {i} AS j, z{i}/sqrt(nn) AS v FROM czn" for i in range(5))
+            + " UNION ALL SELECT id, 4 + ci, 1/sqrt(nn) FROM ix"
+              " UNION ALL SELECT id, 4 + nc + 1 + fi, 1/sqrt(nn) FROM ix"
+              " UNION ALL SELECT id, 4 + nc + 1 + nf + 1 + si, 1/sqrt(nn) FROM ix")
+
+
+@query("k5_affinity_given_coefficients", cte("catalog", "ratings", extra=_content_ctes(1)[:4] + [
+    ("ix", "SELECT id, nn, dense_rank() OVER (ORDER BY country) AS ci, dense_rank() OVER (ORDER BY flavor) AS fi, "
+           "dense_rank() OVER (ORDER BY style) AS si, (SELECT count(DISTINCT country) FROM czn) AS nc, "
+           "(SELECT count(DISTINCT flavor) FROM czn) AS nf FROM czn"),
+    ("iv", _K5_DIMS)])
+    + f"SELECT r.user_id, r.item_id, round(2*(1 - sum(iv.v * {_given_sql(14, 'r.user_id', 'iv.j')})), 6) AS affinity "
+      "FROM ratings r JOIN iv ON iv.id = r.item_id GROUP BY 1, 2")
+def _k5g(f: Fx):
+    """K5: affinity 2(1 - x.coef) of every rated pair for given coefficients."""
+    from reco.operators.classify import item_feature_vectors, user_item_affinity
+    iv = item_feature_vectors(f.catalog)
+    dim = len(iv.first()["x"])
+    users = f.ratings_once.select("user_id").distinct()
+    coefs = users.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(dim - 1)))).select(
+        "user_id", "j", _given(["user_id", "j"], 14).alias("coef"))
+    return user_item_affinity(coefs, iv, f.ratings_once.select("user_id", "item_id"))
+
+
+_FACTORS = 3
+
+
+@query("m10_top_unseen_given_factors", cte("ratings", "titles", extra=[
+    ("cn", "SELECT item_id, count(*) AS c FROM ratings GROUP BY item_id HAVING count(*) > 1"),
+    ("us", "SELECT DISTINCT user_id FROM ratings"),
+    ("pr", "SELECT us.user_id, cn.item_id, cn.c, "
+           + " + ".join(f"{_given_sql(20 + k, 'us.user_id')} * {_given_sql(30 + k, 'cn.item_id')}" for k in range(_FACTORS))
+           + " AS p FROM us CROSS JOIN cn WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = us.user_id "
+             "AND r.item_id = cn.item_id)"),
+    ("rk", "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, item_id) AS rank FROM pr")])
+    + "SELECT rk.user_id, rk.item_id, t.title, rk.c AS count, round(rk.p, 6) AS pred_rating, rk.rank "
+      "FROM rk LEFT JOIN titles t USING (item_id) WHERE rk.rank <= 50")
+def _m10g(f: Fx):
+    """M10 + J8 + F10 + O4 + J10 on given factors: top-50 unseen items with more
+    than one rating, with title and rating count."""
+    from reco.operators import factorization as FA
+
+    def factors(col: str, seed: int) -> DataFrame:
+        return f.ratings_once.select(F.col(col).alias("id")).distinct().select(
+            "id", F.array(*[_given(["id"], seed + k) for k in range(_FACTORS)]).alias("v"))
+
+    return FA.top_unseen_by_factors(factors("user_id", 20), factors("item_id", 30), f.ratings_once, f.titles, 50, 1)
