@@ -14,7 +14,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,9 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from reco.llm.common import on_executors
-from reco.llm.pretokens import ChunkTable, pieces
+from reco.llm.pretokens import ChunkTable
 
-BATCH = 2000        # pre-tokens in one call of the model
+BATCH = 20_000      # pre-tokens in one call of the model
 FIRST_SPARE = 256   # bytes that don't print get characters from here on
 
 
@@ -90,6 +93,14 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return b"".join(out)
 
 
+def _is_text(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Codec:
     """Encoder and decoder of one vocabulary and split pattern."""
 
@@ -98,44 +109,48 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.latin = {b: c for b, c in enumerate(byte_characters())}   # for str.translate of latin-1 text
         self.tokens = sorted(ranks, key=ranks.get)
+        self.whole = {t.decode(): array("I", [r]).tobytes() for t, r in ranks.items() if _is_text(t)}
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self.table = ChunkTable(self._encode_chunks)
 
     def _encode_chunks(self, parts: list[str]) -> list[bytes]:
-        words = [[w.encode() for w in self.split.findall(c)] for c in parts]
-        new = list({w for ws in words for w in ws if w not in self.ranks})
-        ids: dict[bytes, list[int]] = {}
+        matches = list(map(self.split.findall, parts))
+        distinct = set(chain.from_iterable(matches))
+        new = [w for w in distinct if w not in self.whole]
+        packed = {w: self.whole[w] for w in distinct if w in self.whole}
         for at in range(0, len(new), BATCH):
             batch = new[at:at + BATCH]
-            ids.update(zip(batch, self.model.encode([w.decode("latin-1").translate(self.latin) for w in batch],
-                                                    out_type=int, num_threads=1)))
-        out = []
-        for ws in words:
-            got: list[int] = []
-            for w in ws:
-                rank = self.ranks.get(w)
-                got += ids[w] if rank is None else [rank]
-            out.append(struct.pack(f"<{len(got)}I", *got))
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text."""
-        return np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(self.table.ids(p), "<u4") for p in pieces(text))])
+            mapped = [w.encode().decode("latin-1").translate(self.latin) for w in batch]
+            packed.update(zip(batch, (array("I", ids).tobytes() for ids in self.model.encode(mapped, out_type=int, num_threads=1))))
+        return [b"".join(map(packed.__getitem__, m)) for m in matches]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text; null counts as empty."""
+        packed: list[list[bytes]] = [[] for _ in texts]
+        for i, part in self.table.stream(texts):
+            packed[i].append(part)
+        return [np.frombuffer(b"".join(p), "<u4") for p in packed]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the decimal ids joined by commas, and of
-        the decoded bytes; a long text is never held whole in ids."""
-        n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
-        for part in pieces(text):
-            ids = np.frombuffer(self.table.ids(part), "<u4").tolist()
+    def digests(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of ids, the SHA-256 of the decimal ids joined
+        by commas, and that of the decoded bytes; a long text is never held
+        whole in ids."""
+        now, n, ids_sha, text_sha = -1, 0, hashlib.sha256(), hashlib.sha256()
+        for i, part in self.table.stream(texts):
+            if i != now:
+                if now >= 0:
+                    yield n, ids_sha.hexdigest(), text_sha.hexdigest()
+                now, n, ids_sha, text_sha = i, 0, hashlib.sha256(), hashlib.sha256()
+            ids = np.frombuffer(part, "<u4").tolist()
             if ids:
                 ids_sha.update(("," if n else "").encode() + ",".join(map(self.decimal.__getitem__, ids)).encode())
                 text_sha.update(self.decode(ids))
                 n += len(ids)
-        return n, ids_sha.hexdigest(), text_sha.hexdigest()
+        if now >= 0:
+            yield n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -152,7 +167,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
     def run(batches):
         own = codec(path, pattern)
         for b in batches:
-            ids = [own.encode(t or "").astype(np.int32) for t in b.column(text_col).to_pylist()]
+            ids = [i.astype(np.int32) for i in own.encode(b.column(text_col).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
     on_executors(docs.sparkSession)
@@ -183,8 +198,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches):
         own = codec(path, pattern)
         for b in batches:
-            t = b.column("text")
-            got = [own.digests(t[i].as_py() or "") for i in range(len(t))]
+            got = list(own.digests(t.as_py() for t in b.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()),
                  pa.array([g[2] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

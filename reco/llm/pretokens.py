@@ -9,7 +9,7 @@ repeat, so each worker keeps the ids of those it has met (a bounded table).
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -50,15 +50,32 @@ class ChunkTable:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE):
         self.encode, self.limit, self.known = encode, limit, {}
 
-    def ids(self, parts: list[str]) -> bytes:
-        """Packed ids of ``parts``, in order."""
-        known = self.known
-        found = list(map(known.get, parts))
-        if None in found:
-            new = list({c for c, f in zip(parts, found) if f is None})
-            fresh = dict(zip(new, self.encode(new)))
-            found = [fresh[c] if f is None else f for c, f in zip(parts, found)]
-            if len(known) + len(fresh) > self.limit:
-                known.clear()
-            known.update((c, v) for c, v in fresh.items() if len(c) <= LONG)
-        return b"".join(found)
+    def ids(self, lists: list[list[str]]) -> list[bytes]:
+        """Packed ids of each list of chunks; what is missing of all of them
+        is encoded in one call."""
+        used = set().union(*lists)
+        new = [c for c in used if c not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.known = {c: self.known[c] for c in used if c in self.known}
+        self.known.update(zip(new, self.encode(new)))
+        out = [b"".join(map(self.known.__getitem__, parts)) for parts in lists]
+        for c in new:
+            if len(c) > LONG:
+                del self.known[c]
+        return out
+
+    def stream(self, texts: Iterable[str | None]) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, packed ids) in order, at least once a text; a
+        long text comes in several parts, short ones are encoded together."""
+        at: list[int] = []
+        lists: list[list[str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for part in pieces(text or ""):
+                at.append(i)
+                lists.append(part)
+                size += min(len(text or ""), PIECE)
+                if size >= PIECE:
+                    yield from zip(at, self.ids(lists))
+                    at, lists, size = [], [], 0
+        yield from zip(at, self.ids(lists))

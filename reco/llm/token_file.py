@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reco.llm.common import on_executors, open_fs, stored
-from reco.llm.pretokens import ChunkTable, pieces
+from reco.llm.pretokens import ChunkTable
 
 MAGIC = b"TPK1"
 BLOCK_IDS = 8192
@@ -189,10 +189,10 @@ class Encoder:
         out.update(zip(rest, (np.array(i, "<u4").tobytes() for i in self._ids(rest))))
         return [out[c] for c in parts]
 
-    def encode(self, text: str) -> Iterator[np.ndarray]:
-        """Ids of a whole text, in parts."""
-        for part in pieces(text):
-            yield np.frombuffer(self.table.ids(part), "<u4")
+    def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the text, ids) in order, at least once a text; a long
+        text comes in several parts."""
+        return ((i, np.frombuffer(part, "<u4")) for i, part in self.table.stream(texts))
 
 
 @lru_cache(maxsize=2)
@@ -217,8 +217,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         end = np.array([end_id], np.uint32)
         bits = bits_for(max(own.vocabulary, end_id + 1))
         for b in batches:
-            texts = b.column("text")
-            for i, doc in enumerate(b.column("id").to_pylist()):
+            names, now = b.column("id").to_pylist(), -1
+            for i, ids in own.encode(t.as_py() for t in b.column("text")):
                 if w is None:
                     part = TaskContext.get().partitionId()
                     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok"
@@ -226,9 +226,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                     fs.create_dir(p.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(p, compression=None)
                     w = TokenWriter(out, bits)
-                w.begin(doc)
-                for ids in own.encode(texts[i].as_py() or ""):
-                    w.extend(ids)
+                if i != now:
+                    if now >= 0:
+                        w.extend(end)
+                    w.begin(names[i])
+                    now = i
+                w.extend(ids)
+            if now >= 0:
                 w.extend(end)
         if w is not None:
             w.close()

@@ -26,14 +26,14 @@ def test_every_character(reference, codec):
     for at in range(0, 0x30000, 64):
         chars = [chr(c) for c in range(at, at + 64) if not 0xD800 <= c <= 0xDFFF]
         for text in ("".join(chars), " ".join(chars), " a".join(chars)):
-            assert codec.encode(text).tolist() == reference.encode_ordinary(text)
+            assert codec.encode([text])[0].tolist() == reference.encode_ordinary(text)
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from(" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2003'sS9aé.")), max_size=60))
 def test_random_text(reference, codec, text):
     text = text.encode("utf-8", "ignore").decode()
-    ids = codec.encode(text).tolist()
+    ids = codec.encode([text])[0].tolist()
     assert ids == reference.encode_ordinary(text)
     assert codec.decode(ids) == text.encode()
     assert "".join(pretokens.chunks(text)) == text
@@ -41,17 +41,24 @@ def test_random_text(reference, codec, text):
 
 def test_long_text_in_pieces(reference, codec):
     assert len(list(pretokens.pieces(LONG))) > 1
-    assert codec.encode(LONG).tolist() == reference.encode_ordinary(LONG)
+    assert codec.encode([LONG])[0].tolist() == reference.encode_ordinary(LONG)
 
 
 def test_small_cache_changes_nothing(reference):
     own = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
     own.table.limit = 3
     text = DOC_ROWS[0][1] * 3
-    assert own.encode(text).tolist() == reference.encode_ordinary(text)
+    assert own.encode([text])[0].tolist() == reference.encode_ordinary(text)
     assert len(own.table.known) < 100
 
 
+def test_texts_together(reference, codec):
+    texts = [DOC_ROWS[0][1], None, "", LONG, "a" * 200 + " b", LONG, "x"]
+    assert [i.tolist() for i in codec.encode(texts)] == [reference.encode_ordinary(t or "") for t in texts]
+    assert [d[0] for d in codec.digests(texts)] == [len(reference.encode_ordinary(t or "")) for t in texts]
+    assert not any(len(c) > pretokens.LONG for c in codec.table.known)
+
+
 def test_gaps_in_ranks_are_refused():
     with pytest.raises(ValueError):
         bpe.model_bytes({b"a": 0, b"b": 2})
