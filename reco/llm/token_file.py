@@ -22,6 +22,7 @@ succeeded (a lost or repeated attempt leaves an unlisted file at most).
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -33,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reco.llm.common import on_executors, open_fs, stored
-from reco.llm.pretokens import ChunkTable
+from reco.llm.pretokens import MARK, WHITE, ChunkTable
 
 MAGIC = b"TPK1"
 BLOCK_IDS = 8192
 HEADER, TRAILER = struct.Struct("<4sII"), struct.Struct("<qqqq4s")
+LINES = 32           # chunks encoded as one text
 SPAN = 64            # blocks packed or unpacked at once
 
 
@@ -159,6 +161,10 @@ class TokenFile:
             yield (doc if self.valid[i] else None), start, stop - start, crc
 
 
+#: A chunk with a line break, with white space at its end or twice at its start, or with the mark.
+UNSAFE = re.compile(rf"\n|[{WHITE}](?:{MARK}|\Z)|(?:\A|{MARK})(?:[{WHITE}][{WHITE}]|{MARK})|\A{MARK}|{MARK}\Z")
+
+
 class Encoder:
     """A tokenizer file's encoding of whole texts, chunk by chunk."""
 
@@ -178,16 +184,23 @@ class Encoder:
         """Chunks are encoded as lines of one text, which is several times
         faster than one by one; those with a line break go alone."""
         out: dict[str, bytes] = {}
-        lines = [c for c in parts if "\n" not in c and not c[-1:].isspace() and not c[:2].isspace()] if self.newline is not None else []
-        for at in range(0, len(lines), 512):
-            some = lines[at:at + 512]
-            ids = np.array(self._ids(["\n".join(some)])[0], np.uint32)
-            got = np.split(ids, np.flatnonzero(ids == self.newline))
-            if len(got) == len(some):
-                out.update(zip(some, (g[i > 0:].astype("<u4").tobytes() for i, g in enumerate(got))))
-        rest = [c for c in parts if c not in out]
-        out.update(zip(rest, (np.array(i, "<u4").tobytes() for i in self._ids(rest))))
-        return [out[c] for c in parts]
+        if self.newline is None or UNSAFE.search(MARK.join(parts)):
+            apart = [c for c in parts if self.newline is None or UNSAFE.search(c)]
+            out = dict(zip(apart, (np.array(i, "<u4").tobytes() for i in self._ids(apart))))
+            lines = [c for c in parts if c not in out]
+            out.update(zip(lines, self._encode(lines) if lines else []))
+            return [out[c] for c in parts]
+        texts = [parts[at:at + LINES] for at in range(0, len(parts), LINES)]
+        packed: list[bytes] = []
+        for some, got in zip(texts, self._ids(["\n".join(t) for t in texts])):
+            ids = np.array(got, "<u4")
+            cuts = np.flatnonzero(ids == self.newline) * 4
+            data, starts, ends = ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(got) * 4]
+            if len(starts) == len(some):
+                packed.extend(map(data.__getitem__, map(slice, starts, ends)))
+            else:
+                packed.extend(np.array(i, "<u4").tobytes() for i in self._ids(some))
+        return packed
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the text, ids) in order, at least once a text; a long
