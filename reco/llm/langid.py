@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reco.llm.common import on_executors
 
 SAMPLE_DOCS = 2048          # documents the classifiers are fitted to, at least one a language
+SALTS = 64
 BUCKETS = (256, 1024, 2048)  # for 1-, 2- and 3-byte n-grams
 DIM = sum(BUCKETS)
 PIECE = 1 << 20             # bytes handled at once
@@ -145,8 +146,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = d.select("id", "lang").withColumn("h", F.xxhash64(F.lit("langid"), "id"))
     n_langs = ids.agg(F.count_distinct("lang")).first()[0]
     each = max(1, sample_docs // max(1, n_langs))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each).select("id", "lang").distinct()
+    # the first `each` of a language are among the first of its salted parts,
+    # so no task gathers them from all map tasks
+    chosen = ids.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)))
+    for part in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*part).orderBy("h", "id")
+        chosen = chosen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
+    chosen = chosen.select("id", "lang").distinct()
 
     def vectors(batches):
         for b in batches:
