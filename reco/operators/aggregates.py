@@ -18,27 +18,11 @@ def latest_per_key(df: DataFrame, keys: list[str], value_cols: list[str],
     return df.groupBy(*keys).agg(v).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in value_cols])
 
 
-def row_count(df: DataFrame, alias: str = "n_rows") -> DataFrame:
-    """A1."""
-    return df.agg(F.count(F.lit(1)).cast("bigint").alias(alias))
-
-
-def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    """A2: distinct values per column (``approx`` uses HyperLogLog++)."""
-    f = F.approx_count_distinct if approx else F.count_distinct
-    return df.agg(*[f(c).cast("bigint").alias(f"n_{c}") for c in cols])
-
-
 def count_per(df: DataFrame, keys: list[str], alias: str = "n") -> DataFrame:
     """A3 / A5: rows per key (``reduceByKey(add)``)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias(alias))
 
 
-def mean_per(df: DataFrame, key: str, value: str, alias: str = "avg_rating") -> DataFrame:
-    """A4: mean per key."""
-    return df.groupBy(key).agg(F.avg(value).alias(alias), F.count(F.lit(1)).cast("bigint").alias("n"))
-
-
 def most_active(df: DataFrame, key: str = "user_id") -> DataFrame:
     """The key with most rows; smallest key wins a tie.  ``limit(1)`` after
     ``orderBy`` is a distributed take-ordered (partial top-1 per task)."""
@@ -72,14 +56,6 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
-def pooled_mean(df: DataFrame, value: str, weight: str | None = None, alias: str = "value") -> DataFrame:
-    """sum(n*acc)/sum(n) pooled over groups; with per-row 0/1 values this
-    equals the plain mean over all rows."""
-    if weight is None:
-        return df.agg(F.avg(value).alias(alias))
-    return df.agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(alias))
-
-
 def vector_space_shape(long_df: DataFrame, key: str, dim: str) -> DataFrame:
     """Number of vectors and the dimension of the space."""
     return long_df.agg(F.count_distinct(key).cast("bigint").alias("n_vectors"),

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from reco.functions.columns import cosine, cosine_distance
+
 NUMERIC_FEATURES = ["number_of_ratings", "average_aroma_rating", "average_appearance_rating",
                     "average_taste_rating", "average_body_rating"]
 CATEGORY_FEATURES = ["country", "flavor", "style"]
@@ -180,5 +182,4 @@ def distance_to_item(catalog: DataFrame, ref_id: int, missing_as_category: bool
     nn = sum((F.col(z) * F.col(z) for z in Z_COLS), F.lit(0.0))
     for c in CATEGORY_FEATURES:
         nn = nn + F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0)
-    cos = dot / (F.sqrt(nn) * F.lit(n_ref ** 0.5))
-    return f.select("id", (2.0 * (1.0 - cos)).alias("distance"))
+    return f.select("id", cosine_distance(cosine(dot, nn, F.lit(n_ref))).alias("distance"))

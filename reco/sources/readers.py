@@ -80,11 +80,6 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def preview(df: DataFrame, n: int = 5) -> list:
-    """``head``/``take`` (bounded by n)."""
-    return df.take(n)
-
-
 def shape(df: DataFrame) -> tuple[int, int]:
     """(rows, columns)."""
     return df.count(), len(df.columns)
