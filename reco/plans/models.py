@@ -7,7 +7,9 @@ iterations and repeats are the reference's.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import hashlib
+
+from pyspark.sql import DataFrame, functions as F
 
 from reco.functions import columns as X
 from reco.operators import classify as CL
@@ -18,6 +20,8 @@ from reco.operators import interactions as IN
 from reco.operators import popularity as PO
 from reco.operators.similarity import ann_neighbors
 from reco.plans.registry import SPLIT_SEED, Fx, query
+from reco.session import app_scratch_dir
+from reco.sources import sinks as SK
 from reco import fixtures as fx
 
 ALS = FA.EXPLICIT_DEFAULTS
@@ -34,6 +38,28 @@ def _implicit_splits(f: Fx, seed: int = 0):
     return IN.confidence_transform(train), val, test
 
 
+def _stored_results(f: Fx, name: str, work_out) -> DataFrame:
+    """Results of a parameter grid as a table of this application, by grid and
+    input path: worked out and written by the first query that needs it, then
+    read (S7 form), so that refitting the best point doesn't repeat the grid."""
+    path = f"{app_scratch_dir(f.spark)}/grids/{name}-{hashlib.md5(f.t.sf_dir.encode()).hexdigest()}"
+    done = f.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(f.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        SK.write_table(work_out(), path)
+    return SK.read_back(f.spark, path)
+
+
+def _explicit_results(f: Fx) -> DataFrame:
+    return _stored_results(f, "explicit", lambda: FA.explicit_grid(_explicit_split(f)[0], seed=1))
+
+
+def _implicit_results(f: Fx) -> DataFrame:
+    def work_out():
+        train, val, _ = _implicit_splits(f)
+        return FA.implicit_grid(train, val, max_iter=IMPLICIT_ITER)
+    return _stored_results(f, "implicit", work_out)
+
+
 @query("m7_als_explicit_predictions")
 def _m7(f: Fx):
     """M7 + M9 + J4: explicit ALS (rank 8, seed 32, 20 iterations, reg 0.06)
@@ -67,8 +93,7 @@ def _m10(f: Fx):
 def _m12(f: Fx):
     """M12 + A21 + A22: explicit ALS grid with repeated deterministic
     re-splits; averaged per point, best point flagged."""
-    train, _ = _explicit_split(f)
-    res = FA.explicit_grid(train, seed=1)
+    res = _explicit_results(f)
     avg = EV.average_by_point(res, ["rank", "reg"], ["rmse", "mae"])
     best = EV.best_point(avg, "rmse", ["rank", "reg"]).select("rank", "reg", F.lit(True).alias("best"))
     return avg.join(best, ["rank", "reg"], "left").withColumn("best", F.coalesce("best", F.lit(False)))
@@ -86,8 +111,7 @@ def _m8(f: Fx):
 @query("m13_implicit_grid")
 def _m13(f: Fx):
     """Implicit ALS grid (rank x reg x alpha), validation MPR, best flagged."""
-    train, val, _ = _implicit_splits(f)
-    res = FA.implicit_grid(train, val, max_iter=IMPLICIT_ITER)
+    res = _implicit_results(f)
     best = EV.best_point(res, "mpr", ["rank", "reg", "alpha"]).select("rank", "reg", "alpha", F.lit(True).alias("best"))
     return res.join(best, ["rank", "reg", "alpha"], "left").withColumn("best", F.coalesce("best", F.lit(False)))
 
@@ -178,7 +202,7 @@ def _m12_m14(f: Fx):
     training data, best point by mean RMSE (first point on ties), refit on the
     whole training split with it, RMSE/MAE on the test split."""
     train, test = _explicit_split(f)
-    res = FA.explicit_grid(train, seed=1)
+    res = _explicit_results(f)
     avg = EV.average_by_point(res, ["rank", "reg"], ["rmse", "mae"])
     best = EV.best_point(avg, "rmse", ["rank", "reg"]).first()
     m = FA.fit_explicit(train, int(best["rank"]), ALS["max_iter"], float(best["reg"]), ALS["seed"])
@@ -194,8 +218,8 @@ def _m13_m14(f: Fx):
     """M13 + A22 + M14 (implicit): grid on validation MPR, best point (lowest
     MPR, first on ties), retrain with it, MPR on the test split (both
     denominators, D14)."""
-    train, val, test = _implicit_splits(f)
-    res = FA.implicit_grid(train, val, max_iter=IMPLICIT_ITER)
+    train, _, test = _implicit_splits(f)
+    res = _implicit_results(f)
     best = EV.best_point(res, "mpr", ["rank", "reg", "alpha"]).first()
     m = FA.fit_implicit(train, int(best["rank"]), IMPLICIT_ITER, float(best["reg"]), 32, alpha=float(best["alpha"]))
     t = FA.evaluate_implicit(m, test, denominator="all").first()
