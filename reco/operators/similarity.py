@@ -55,14 +55,25 @@ def vector_similarity(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     return r.select(F.col("e1").alias("id1"), F.col("e2").alias("id2"), "score", "rank")
 
 
+def lsh_buckets(hashed: DataFrame, num_tables: int, planes: int) -> DataFrame:
+    """``hashed`` (hash vectors in ``_h``) with one row per table and a
+    ``_bucket`` number from the table and its ``planes`` hashes."""
+    from pyspark.ml.functions import vector_to_array
+    each = [vector_to_array(F.col("_h")[i])[0].cast("long") for i in range(num_tables * planes)]
+    tables = [F.xxhash64(F.lit(t), *each[t * planes:(t + 1) * planes]) for t in range(num_tables)]
+    return hashed.withColumn("_bucket", F.explode(F.array(*tables)))
+
+
 def ann_neighbors(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-                  num_tables: int = 10, bucket_length: float = 0.5, seed: int = 0,
+                  num_tables: int = 12, planes: int = 4, bucket_length: float = 2.0, seed: int = 0,
                   block_rows: int = 1024) -> DataFrame:
     """K4: approximate nearest neighbours (the reference's 10-tree index).
 
-    Unit vectors are hashed by ``BucketedRandomProjectionLSH`` into
-    ``num_tables`` tables; candidates are the vectors sharing a bucket in any
-    table, scored exactly inside the bucket by the blocked engine (a large
+    Unit vectors are hashed by ``BucketedRandomProjectionLSH``; a table's bucket
+    is the combination of ``planes`` hashes (with the default length, on which
+    side of each hyperplane a vector lies), so that a bucket holds about
+    ``1 / 2**planes`` of evenly spread vectors.  Candidates are the vectors
+    sharing a bucket in any of ``num_tables`` tables, scored exactly inside the bucket by the blocked engine (a large
     bucket is split into bounded block pairs, never listed pair by pair).
     Euclidean distance on unit vectors is sqrt(2(1 - cos)), the angular
     metric.  Returns (id1, id2, score=cosine, distance, rank)."""
@@ -70,14 +81,12 @@ def ann_neighbors(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_c
     from pyspark.ml.functions import array_to_vector, vector_to_array
     v = vectors.select(F.col(id_col).alias("_vid"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("_raw"))
     v = Normalizer(inputCol="_raw", outputCol="_u", p=2.0).transform(v)
-    lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", numHashTables=num_tables,
+    lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", numHashTables=num_tables * planes,
                                       bucketLength=bucket_length, seed=seed).fit(v)
     h = lsh.transform(v)
     n = h.select(F.max(F.size(vector_to_array("_u")))).first()[0] or 0
     arr = vector_to_array("_u")
-    x = h.select("_vid", arr.alias("_a"), F.posexplode("_h").alias("_t", "_hv"))
-    x = x.select("_vid", "_a", (F.col("_t").cast("long") * F.lit(1 << 32)
-                                + vector_to_array("_hv")[0].cast("long")).alias("_bucket"))
+    x = lsh_buckets(h, num_tables, planes).select("_vid", arr.alias("_a"), "_bucket")
     flat = x.select("_vid", "_bucket", *[F.col("_a")[i].alias(f"_x{i}") for i in range(n)])
     r = blocks.dense_topk(flat, "_vid", [f"_x{i}" for i in range(n)], [], k, measure="cosine",
                           rank_digits=9, block_rows=block_rows, group_col="_bucket")
