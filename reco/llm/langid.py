@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reco.llm.common import on_executors
 
 SAMPLE_DOCS = 2048          # documents the classifiers are fitted to, at least one a language
-SALTS = 64
+SALTS = 16                  # parts of a language that are ranked apart first
 BUCKETS = (256, 1024, 2048)  # for 1-, 2- and 3-byte n-grams
 DIM = sum(BUCKETS)
 PIECE = 1 << 20             # bytes handled at once
