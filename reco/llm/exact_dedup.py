@@ -45,6 +45,12 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .filter(F.col("size") > 1))
 
 
+def _repeats(docs: DataFrame, id_col: str, text_col: str) -> bool:
+    """Whether some row repeats the id and the text of another."""
+    rows = _keyed(docs, id_col, text_col).groupBy("id", "digest").agg(F.count(F.lit(1)).alias("c"))
+    return bool(rows.filter(F.col("c") > 1).limit(1).count())
+
+
 def _shared_digests(groups: DataFrame) -> bool:
     return bool(groups.filter(F.col("n_texts") > 1).limit(1).count())
 
@@ -88,14 +94,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         t = free_name(cols, "_text")
         texts = stored(content_groups(docs, id_col, text_col).filter(F.col("size") > 1), "texts")
         j = d.withColumn(t, text).join(
-            texts.select(F.col("digest").alias(dig), F.col("text").alias(t), F.col("keep_id").alias(kid), F.col("size").alias(size)),
-            [dig, t], "left")
+            texts.select(F.col("digest").alias(dig), F.col("text").alias(t), F.col("keep_id").alias(kid), F.col("size").alias(size))
+            .hint("merge"), [dig, t], "left")
         same = [dig, t, id_col]
     else:
-        j = d.join(groups.select(F.col("digest").alias(dig), F.col("keep_id").alias(kid), F.col("size").alias(size)), dig, "left")
+        j = d.join(groups.select(F.col("digest").alias(dig), F.col("keep_id").alias(kid), F.col("size").alias(size))
+                   .hint("merge"), dig, "left")   # the groups grow with the input: never a broadcast
         same = [dig, id_col]
-    alone = j.filter(F.col(size).isNull())
-    tops = (j.filter(F.col(size).isNotNull() & F.col(f"`{id_col}`").eqNullSafe(F.col(kid)))
-            .repartition(*[F.col(f"`{c}`") for c in same]).dropDuplicates(same))
     out = [F.col(f"`{c}`") for c in cols]
-    return alone.select(*out).unionByName(tops.select(*out))
+    alone = F.col(size).isNull()
+    top = F.col(size).isNotNull() & F.col(f"`{id_col}`").eqNullSafe(F.col(kid))
+    if not _repeats(docs, id_col, text_col):
+        return j.filter(alone | top).select(*out)
+    tops = j.filter(top).repartition(*[F.col(f"`{c}`") for c in same]).dropDuplicates(same)
+    return j.filter(alone).select(*out).unionByName(tops.select(*out))
