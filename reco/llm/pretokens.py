@@ -16,7 +16,7 @@ CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WHITE_RUN = re.compile(f"[{WHITE}][{WHITE}]")
 MARK = "\x1f"        # cuts; a text that has it takes the slower way
 PIECE = 1 << 20      # characters of a text handled at once
-CACHE = 1_500_000    # chunks whose ids a worker keeps, about 0.25 GB
+CACHE = 600_000      # chunks whose ids a worker keeps, about 0.12 GB
 LONG = 64            # characters of the longest chunk worth keeping
 
 
