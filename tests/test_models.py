@@ -65,6 +65,29 @@ def test_lsh_on_unclustered_vectors(spark):
     assert max(sizes) < 0.25 * n
 
 
+def test_ann_recall_of_the_registered_index(spark):
+    """Recall@10 against brute force of the registered parameters on the given
+    vectors, and the share of all pairs that they compare."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from reco.operators.similarity import ANN_PLANES, ANN_TABLES, lsh_buckets
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    exact = vector_similarity(v, top_k=10)
+    assert exact.join(ann_neighbors(v, k=10), ["id1", "id2"]).count() >= 0.9 * exact.count()
+    h = v.select("vec_id", array_to_vector("embedding").alias("_u"))
+    h = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", numHashTables=ANN_TABLES * ANN_PLANES,
+                                    bucketLength=2.0, seed=0).fit(h).transform(h)
+    rows = lsh_buckets(h, ANN_TABLES, ANN_PLANES).select("vec_id", "_bucket").toPandas()
+    at = {b: i for i, b in enumerate(rows["vec_id"].unique())}
+    met = np.zeros((len(at), len(at)), bool)
+    for ids in rows.groupby("_bucket")["vec_id"]:
+        i = [at[x] for x in ids[1]]
+        met[np.ix_(i, i)] = True
+    print("candidate share", met.mean())
+    assert met.mean() < 0.65
+
+
 def test_newton_logistic_gradient_zero():
     rng = np.random.default_rng(2)
     X = np.hstack([rng.normal(size=(60, 4)), np.ones((60, 1))])
