@@ -74,9 +74,13 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     for i in np.argsort(-lengths, kind="stable"):      # long documents first, down to the programme's budget
         if rest <= DP_BUDGET:
             break
-        k = min(int(counts[i] - take[i]), max(0, (rest - DP_BUDGET // 2) // int(lengths[i])))
+        length, left = int(lengths[i]), int(counts[i] - take[i])
+        spare = DP_BUDGET // 2 if length <= DP_LIMIT - DP_BUDGET else 0     # the programme can't take longer ones
+        k = min(left, max(0, (rest - spare) // length))
         take[i] += k
-        rest -= k * int(lengths[i])
+        rest -= k * length
+        if k < left and DP_BUDGET < length <= rest:     # one more fits: for the programme to choose, before shorter ones
+            break
     # bounded knapsack over the remaining budget: bit s of `reach` says that s
     # words can be made; first[s] is the bundle that first made them
     rest_dp = min(rest, DP_LIMIT)

@@ -97,3 +97,12 @@ def test_long_documents_only():
     for budget in (0, 100_000, 3_000_000, 26_000_000):
         got = int((lengths * mixing.fit_counts(lengths, counts, budget)).sum())
         assert got <= budget and budget - got < 90_000
+
+
+def test_documents_longer_than_the_programme():
+    for hist, budget, best in (({5_000_000: 2}, 5_010_000, 5_000_000), ({5_000_000: 2}, 4_999_999, 0),
+                               ({5_000_000: 2, 5_005_000: 2, 9_000_000: 1}, 5_010_000, 5_005_000),
+                               ({5_000_000: 2, 4_000: 3}, 5_010_000, 5_008_000),
+                               ({3_000_000: 2, 4_000: 3}, 3_010_000, 3_008_000)):
+        lengths, counts = np.array(list(hist)), np.array(list(hist.values()))
+        assert int((lengths * mixing.fit_counts(lengths, counts, budget)).sum()) == best
