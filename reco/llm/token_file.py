@@ -171,7 +171,10 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a text is cut before white space only, so tokens without it stay whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(re.search(f"[{WHITE}{MARK}]", t) for t in self.added):
+            raise ValueError("an added token holds white space")
         self.vocabulary = self.tokenizer.get_vocab_size()
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
@@ -180,12 +183,16 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _alone(self, text: str) -> bool:
+        """Whether a chunk, or one of several chunks joined by the mark, can't be a line."""
+        return self.newline is None or UNSAFE.search(text) is not None or any(t in text for t in self.added)
+
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Chunks are encoded as lines of one text, which is several times
-        faster than one by one; those with a line break go alone."""
+        faster than one by one; those with a line break or an added token go alone."""
         out: dict[str, bytes] = {}
-        if self.newline is None or UNSAFE.search(MARK.join(parts)):
-            apart = [c for c in parts if self.newline is None or UNSAFE.search(c)]
+        if self._alone(MARK.join(parts)):
+            apart = [c for c in parts if self._alone(c)]
             out = dict(zip(apart, (np.array(i, "<u4").tobytes() for i in self._ids(apart))))
             lines = [c for c in parts if c not in out]
             out.update(zip(lines, self._encode(lines) if lines else []))

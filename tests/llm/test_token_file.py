@@ -73,6 +73,18 @@ def test_encoding_is_the_library_s(text):
     assert got == plain.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = "<|endoftext|>"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([SPECIAL, "a", " ", "\n", "\t", "  ", "\n ", " the", "'s", "9", ".", "\xa0", "<|", "|>", tf.MARK]), max_size=12))
+def test_special_token_in_a_text(parts):
+    text = "".join(parts)
+    for t in (f"{text}{SPECIAL} b", f"a {SPECIAL} b", f"a{SPECIAL}{text}"):
+        got = [i for _, part in tf.encoder(PATH).encode([t, "plain text"]) if _ == 0 for i in part.tolist()]
+        assert got == plain_tokenizer().encode(t, add_special_tokens=False).ids and 50256 in got
+
+
 def expected(rows):
     t, at, out = Tokenizer.from_file(PATH), 0, []
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
