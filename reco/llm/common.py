@@ -17,11 +17,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{app_scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again: a
-    lineage cut that survives lost executors, with real sizes for Catalyst."""
+    lineage cut that survives lost executors, with real sizes for Catalyst.
+    ``by``: columns whose values become folders, so that readers skip them."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

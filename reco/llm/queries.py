@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reco.llm import (bpe, exact_dedup, html_text, langid, mixing, multiset_hash, simhash, token_file,
-                      url_filter, warc)
+from reco.llm import (bpe, exact_dedup, html_text, langid, line_dedup, mixing, multiset_hash, role_repair, simhash,
+                      spelling, token_file, url_filter, warc)
 from reco.llm.common import shared_path
 
 RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"),
@@ -73,9 +73,24 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
     return token_file.read_tokens(manifest)
 
 
+def op11_line_runs(spark: SparkSession, sf: str) -> DataFrame:
+    d = line_dedup.deduplicate(_read(spark, sf, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    found = spelling.words(_read(spark, sf, "documents"), min_chars=spelling.MIN_CHARS)    # a dropped letter only shortens a word
+    return spelling.variants(spelling.with_slips(found))
+
+
+def op13_role_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return role_repair.repair(role_repair.damaged(_read(spark, sf, "conversations")), copies=F.col("copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_language_id, op3_url_filter, op4_byte_bpe, op5_exact_dedup,
-                            op6_mix_sources, op7_html_text, op8_multiset_hash, op9_simhash, op10_token_file)}
+                            op6_mix_sources, op7_html_text, op8_multiset_hash, op9_simhash, op10_token_file,
+                            op11_line_runs, op12_spelling, op13_role_repair)}
 
 _RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
 
@@ -102,4 +117,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_line_runs": """
+        WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+        l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS pos FROM s),
+        k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        r AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+        SELECT k.doc_id, count(*) AS n_lines, count(r.key) FILTER (k.doc_id <> r.owner) AS n_dropped,
+               sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (r.key IS NULL OR k.doc_id = r.owner), '')) AS kept_sha256
+        FROM k LEFT JOIN r ON k.key = r.key GROUP BY k.doc_id""",
 }
