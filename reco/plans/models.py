@@ -133,8 +133,15 @@ def _m19(f: Fx):
     return out
 
 
-def _m16_result(f: Fx):
-    return CL.per_user_logistic(f.ratings, f.catalog, 50, 100, folds=5)
+def _m16_result(f: Fx, lo: int = 50, hi: int | None = 100):
+    return CL.per_user_logistic(f.ratings, f.catalog, lo, hi, folds=5)
+
+
+def _m16_summary(f: Fx, res: dict) -> DataFrame:
+    acc = res["accuracy"].first()
+    n_users = res["chosen_c"].count()
+    return f.spark.createDataFrame([(float(acc["accuracy"] or 0.0), int(acc["n_rows"]), int(n_users))],
+                                   "accuracy double, n_test_rows long, n_users long")
 
 
 @query("m16_per_user_logistic")
@@ -142,11 +149,13 @@ def _m16(f: Fx):
     """M16 + F12 + F13 + J12 + A20: per-user L2 logistic regression, per-user C by
     5-fold CV accuracy over the reference's 9-value grid; pooled test accuracy
     and the number of trained users."""
-    res = _m16_result(f)
-    acc = res["accuracy"].first()
-    n_users = res["chosen_c"].count()
-    return f.spark.createDataFrame([(float(acc["accuracy"] or 0.0), int(acc["n_rows"]), int(n_users))],
-                                   "accuracy double, n_test_rows long, n_users long")
+    return _m16_summary(f, _m16_result(f))
+
+
+@query("m16_open_band")
+def _m16_open(f: Fx):
+    """M16 + F12: the open band (over 100 ratings, no upper bound)."""
+    return _m16_summary(f, _m16_result(f, 100, None))
 
 
 @query("k5_user_item_affinity")

@@ -4,7 +4,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reco.operators import factorization as FA
-from reco.operators.classify import _newton_l2_logistic
 from reco.operators.similarity import ann_neighbors, vector_similarity
 
 
@@ -88,43 +87,6 @@ def test_ann_recall_of_the_registered_index(spark):
     assert met.mean() < 0.65
 
 
-def test_newton_logistic_gradient_zero():
-    rng = np.random.default_rng(2)
-    X = np.hstack([rng.normal(size=(60, 4)), np.ones((60, 1))])
-    y = (X[:, 0] + 0.5 * rng.normal(size=60) > 0).astype(float)
-    C = 1.0
-    w = _newton_l2_logistic(X, y, C)
-    s = 2 * y - 1
-    sig = 1 / (1 + np.exp(-s * (X @ w)))
-    g = C * (X.T @ ((sig - 1) * s)) + w
-    assert np.linalg.norm(g) < 1e-6
-
-
-def test_block_diagonal_mllib_matches_per_user_newton(spark):
-    """The open-band path (one MLlib fit over a block-diagonal design)
-    solves the same per-user objective as the bounded per-user solver."""
-    import pandas as pd
-    from reco.operators import classify as CL
-    rng = np.random.default_rng(8)
-    n_items = 40
-    cat = pd.DataFrame({
-        "id": np.arange(n_items), "country": rng.choice(["A", "B", "C"], n_items),
-        "flavor": rng.choice(["x", "y"], n_items), "style": rng.choice(["s1", "s2", "s3"], n_items),
-        "average_rating": rng.uniform(1, 5, n_items), "number_of_ratings": rng.integers(1, 9, n_items),
-        "average_aroma_rating": rng.uniform(1, 5, n_items), "average_appearance_rating": rng.uniform(1, 5, n_items),
-        "average_taste_rating": rng.uniform(1, 5, n_items), "average_body_rating": rng.uniform(0, 5, n_items)})
-    catalog = spark.createDataFrame(cat)
-    rows = [(u, i, float(rng.integers(1, 6))) for u in range(3) for i in range(n_items)]
-    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
-    kw = dict(lo=0, c_grid=[1.0], folds=2, test_pct=30, min_class=2)
-    loc = CL.per_user_logistic_local(ratings, catalog, hi=1000, **kw)
-    ml = CL.per_user_logistic(ratings, catalog, hi=None, **kw)  # open band -> MLlib path
-    a = {(r.user_id, r.j): r.coef for r in loc["coefficients"].collect()}
-    b = {(r.user_id, r.j): r.coef for r in ml["coefficients"].collect()}
-    assert set(a) == set(b) and len(a) > 0
-    assert max(abs(a[x] - b[x]) for x in a) < 1e-3
-
-
 def test_distance_to_item_matches_engine(spark):
     """E9 distance column equals the K1 engine's distance for the same pair."""
     from reco.operators import features as FE
