@@ -1,8 +1,8 @@
 """URL allow and block rules by hashed host-suffix and path-prefix expressions.
 
-Each distinct (host, path) is expanded into every host suffix (cut at label
-boundaries) combined with every path prefix whose length some rule has.  The
-expressions meet the rules in an equi-join on the first four bytes of their
+Each distinct (host, path) is expanded into the host suffixes (cut at label
+boundaries) combined with the path prefixes, of every number of labels and
+every length that some rule has.  The expressions meet the rules in an equi-join on the first four bytes of their
 SHA-256; a hit counts only if the full digests agree.  The longest rule wins.
 
 The verdict is a function of (host, path), so pages are reduced to distinct
@@ -55,16 +55,16 @@ def _hashed(df: DataFrame, expression: Column) -> DataFrame:
             .withColumn("prefix", F.substring("digest", 1, PREFIX_HEX)))
 
 
-def expand(pairs: DataFrame, path_lengths: list[int]) -> DataFrame:
-    """``host, path`` -> one hashed row per host suffix and path prefix."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    lengths = F.array(*[F.lit(n) for n in path_lengths]) if path_lengths else F.array().cast("array<int>")
-    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")),
-                           lambda n: F.substring(F.col("path"), F.lit(1), n))
-    x = (pairs.withColumn("_suffix", F.explode(suffixes))
-         .withColumn("_prefix", F.explode(prefixes)))
+def expand(pairs: DataFrame, path_lengths: list[int], label_counts: list[int]) -> DataFrame:
+    """``host, path`` -> one hashed row per host suffix of as many labels and
+    path prefix of as many code points as given."""
+    def ints(values: list[int]) -> Column:
+        return F.array(*[F.lit(n) for n in values]) if values else F.array().cast("array<int>")
+    n_labels = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
+    x = (pairs.withColumn("_n", F.explode(F.filter(ints(label_counts), lambda n: n <= n_labels)))
+         .withColumn("_suffix", F.expr("substring_index(host, '.', -_n)"))
+         .withColumn("_k", F.explode(F.filter(ints(path_lengths), lambda n: n <= F.length("path"))))
+         .withColumn("_prefix", F.substring(F.col("path"), F.lit(1), F.col("_k"))))
     return _hashed(x, F.concat("_suffix", F.lit("\n"), "_prefix"))
 
 
@@ -78,13 +78,15 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     then ``block``.  Repeated rows are judged alike; an empty table or an
     empty rule list gives no hits.  ``rules`` comes from ``rule_table``.
     """
-    lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().collect()]  # at most the longest path
+    # at most as many numbers as the longest rule has code points
+    lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().collect()]
+    labels = [r[0] for r in rules.select(F.size(F.split("rule_host", r"\."))).distinct().collect()]
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     p = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(F.col(f"`{url}`")).alias("host"),
                      path_of(F.col(f"`{url}`")).alias("path"))
     pairs = (pages.select(host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
              .filter(F.col("host") != "").distinct())
-    e, r = expand(pairs, sorted(lengths)).alias("e"), rules.alias("r")
+    e, r = expand(pairs, sorted(lengths), sorted(labels)).alias("e"), rules.alias("r")
     hits = (e.join(r, F.col("e.prefix") == F.col("r.prefix"))
             .filter(F.col("e.digest") == F.col("r.digest"))
             .select("host", "path", "verdict", F.concat("rule_host", "rule_path").alias("rule"),

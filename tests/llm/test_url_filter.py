@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import given, settings, strategies as st
 
@@ -52,3 +53,12 @@ def test_repeats_extra_columns_and_empty_tables(spark):
     assert out.columns.count("rule") == 1
     assert uf.judge(empty(spark, PAGES), rules).count() == 0
     assert {r.verdict for r in uf.judge(df, uf.rule_table(spark, []), default="block").collect()} == {"block"}
+
+
+def test_a_host_of_very_many_labels(spark):
+    """Work follows the rules' numbers of labels, not the host's."""
+    host = "a." * 100_000 + "example.org"
+    urls = [f"http://{host}/en/1", f"http://{host}.net/en/1", "http://" + "." * 50_000 + "com/de/", "http://x/" + "y/" * 100_000]
+    start = time.time()
+    assert run(spark, urls, RULES) == {i: brute(u, RULES) for i, u in enumerate(urls)}
+    assert time.time() - start < 60
