@@ -29,6 +29,7 @@ from reco.llm.common import on_executors, open_fs, stored
 
 MIN_REVISIT = 100
 CHUNK = 1 << 18
+HEAD = 1 << 20      # bytes of the longest header block
 LEVEL = 6
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -91,7 +92,7 @@ class _Member:
                 return True
         return False
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
+    def until(self, mark: bytes, limit: int = HEAD) -> bytes:
         while mark not in self.held:
             if len(self.held) > limit or not self.more():
                 raise ValueError("record header without an end")
@@ -164,6 +165,8 @@ def read_stream(stream, with_payload: bool = False) -> Iterator[Record]:
                 http += part
                 at = http.find(b"\r\n\r\n")
                 if at < 0:
+                    if len(http) > HEAD:
+                        raise ValueError("block without an end of its HTTP headers")
                     continue
                 http, part, http_head = None, http[at + 4:], http[:at]
             n += len(part)
