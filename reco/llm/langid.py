@@ -23,16 +23,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reco.llm.common import on_executors
+from reco.llm.common import free_name, on_executors
 
 SAMPLE_DOCS = 2048          # documents the classifiers are fitted to, at least one a language
-SALTS = 16                  # parts of a language that are ranked apart first
+SPARE = 2                   # times the ids wanted that the first hash threshold lets through
+HASH_RANGE = 1 << 62
 BUCKETS = (256, 1024, 2048)  # for 1-, 2- and 3-byte n-grams
 DIM = sum(BUCKETS)
 PIECE = 1 << 20             # bytes handled at once
 STEPS, RIDGE = 150, 1e-5
 AMBIGUOUS = 0.2             # smallest lead in score over the runner-up
 UNKNOWN = "und"
+NAMES = ["lang_pred", "score", "ambiguous"]
 LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that aren't letters become spaces.
 PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -69,7 +71,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     rng, bits, best, best_d = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), None, -1
     for _ in range(50):
         c = rng.choice(np.array([-1, 1], np.int8), (n, bits))
-        c = c[:, np.abs(c.sum(1 - 1)) < n]
+        c = c[:, np.abs(c.sum(0)) < n]
         d = min(int((c[i] != c[i + 1:]).sum(1).min()) for i in range(n - 1))
         if d > best_d:
             best, best_d = c, d
@@ -143,16 +145,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     (``bucket5`` = 0), are never used."""
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     d = d.filter((bucket5("id") != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = d.select("id", "lang").withColumn("h", F.xxhash64(F.lit("langid"), "id"))
-    n_langs = ids.agg(F.count_distinct("lang")).first()[0]
-    each = max(1, sample_docs // max(1, n_langs))
-    # the first `each` of a language are among the first of its salted parts,
-    # so no task gathers them from all map tasks
-    chosen = ids.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)))
-    for part in (["lang", "salt"], ["lang"]):
-        order = Window.partitionBy(*part).orderBy("h", "id")
-        chosen = chosen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
-    chosen = chosen.select("id", "lang").distinct()
+    # ids under a threshold of their hash that follows from the counts: about
+    # SPARE times those wanted, so no task gathers a language
+    ids = d.select("id", "lang").withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "id"), 2)).distinct()
+    n_of = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}    # a row a language
+    each, share = max(1, sample_docs // max(1, len(n_of))), SPARE
+    while True:
+        top = {v: min(HASH_RANGE, int(HASH_RANGE * (each * share / n))) for v, n in n_of.items()}
+        limit = F.lit(0).cast("long")
+        for v, t in top.items():
+            limit = F.when(F.col("lang") == v, F.lit(t)).otherwise(limit)
+        near = ids.filter(F.col("h") < limit)
+        got = {r["lang"]: r["n"] for r in near.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(got.get(v, 0) >= min(each, n) for v, n in n_of.items()):
+            break
+        share *= 4
+    chosen = (near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
+              .filter(F.col("r") <= each).select("id", "lang"))
 
     def vectors(batches):
         for b in batches:
@@ -173,15 +182,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """``docs`` with ``lang_pred, score, ambiguous`` in place of same-named
     columns and without the text.  Null text or text without a letter:
     ``und``, score 0, not ambiguous; so is every text if nothing was learned.
-    Only the text is looked at."""
-    names = ["lang_pred", "score", "ambiguous"]
-    keep = [c for c in docs.columns if c != text_col and c.lower() not in names]
-    return _identified(docs, model, text_col, keep)
+    Only the text is looked at, the whole of it whatever its length; equal
+    texts have equal predictions.  Of equally near codewords the language that
+    sorts first is predicted, and marked ambiguous.  An empty table gives an
+    empty result."""
+    keep = [c for c in docs.columns if c != text_col and c.lower() not in NAMES]
+    return _identified(docs, model, text_col, keep, NAMES)
 
 
-def _identified(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+def _identified(docs: DataFrame, model: Model, text_col: str, keep: list[str], names: list[str]) -> DataFrame:
     schema = (docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-              .add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean"))
+              .add(names[0], "string").add(names[1], "double").add(names[2], "boolean"))
 
     def predict(batches):
         for b in batches:
@@ -195,7 +206,7 @@ def _identified(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -
                     langs[i] = v
                 scores[part], flags[part] = sc, am
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores), pa.array(flags)],
-                                             names=[*keep, "lang_pred", "score", "ambiguous"])
+                                             names=[*keep, *names])
 
     on_executors(docs.sparkSession)
     return docs.mapInArrow(predict, schema)
@@ -205,8 +216,6 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """The rows of ``docs`` in some learned language, with all their columns:
     only ``und`` is rejected; an ambiguous prediction is still one of the
     learned languages, so its document stays."""
-    taken = {c.lower() for c in docs.columns} & {"lang_pred", "score", "ambiguous"}
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} would be replaced by the prediction's own")
-    j = _identified(docs, model, text_col, docs.columns)
-    return j.filter(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [free_name(docs.columns, f"_{n}") for n in NAMES]
+    j = _identified(docs, model, text_col, docs.columns, names)
+    return j.filter(F.col(names[0]) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
