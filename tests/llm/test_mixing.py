@@ -106,3 +106,39 @@ def test_documents_longer_than_the_programme():
                                ({3_000_000: 2, 4_000: 3}, 3_010_000, 3_008_000)):
         lengths, counts = np.array(list(hist)), np.array(list(hist.values()))
         assert int((lengths * mixing.fit_counts(lengths, counts, budget)).sum()) == best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 4), min_size=1, max_size=6), st.floats(0, 1), st.integers(1, 3))
+def test_nearest_sums_with_repeats(hist, part, uses):
+    lengths, counts = np.array(list(hist)), np.array(list(hist.values()))
+    budget = int(part * int((lengths * counts).sum()))
+    take = mixing.fit_counts(lengths, counts, budget, uses, over=True)
+    assert (take >= 0).all() and (take <= counts * uses).all()
+    base = mixing.proportional(lengths, counts, budget)
+    sums = {int((lengths * base).sum())}
+    for n, c, b in zip(lengths, counts, base):
+        sums = {s + n * k for s in sums for k in range(int(c) * uses - b + 1)}
+    got = int((lengths * take).sum())
+    # sums over the budget are looked for up to twice what the programme has left
+    assert abs(got - budget) <= min(abs(s - budget) for s in sums if s <= 2 * budget - int((lengths * base).sum()))
+
+
+def test_many_lengths_beyond_the_programme():
+    """Documents of over 4.2 million words: the nearest sum to within a unit for each of the few that fit."""
+    rng = np.random.default_rng(5)
+    lengths = rng.choice(np.arange(5_000_000, 20_000_000), 9, replace=False)
+    for budget in (11_000_000, 37_500_000, 64_000_001):
+        got = int((lengths * mixing.fit_counts(lengths, np.ones(9, np.int64), budget)).sum())
+        every = [sum(int(n) for k, n in enumerate(lengths) if m >> k & 1) for m in range(512)]
+        base = int((lengths * mixing.proportional(lengths, np.ones(9, np.int64), budget)).sum())
+        best = max(s for s in every if s <= budget)
+        assert base == 0 and got <= budget and best - got <= 16 * -(-budget // mixing.DP_LIMIT)
+
+
+def test_a_corpus_with_the_mix_s_own_names(spark):
+    df = clashing(docs(spark), "size", "source_size", "Target", "takes")
+    out = mixing.mixed_rows(df, mixing.word_count(F.col("text")))
+    assert out.columns == df.columns and {r.takes for r in out.collect()} == {"x"}
+    plain = mixing.mixed_rows(docs(spark), mixing.word_count(F.col("text")))
+    assert out.count() == plain.count()
