@@ -22,6 +22,7 @@ succeeded (a lost or repeated attempt leaves an unlisted file at most).
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -34,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reco.llm.common import on_executors, open_fs, stored
-from reco.llm.pretokens import MARK, WHITE, ChunkTable
+from reco.llm.chunk_ids import ChunkIds
+from reco.llm.pretokens import MARK, WHITE
 
 MAGIC = b"TPK1"
 BLOCK_IDS = 8192
 HEADER, TRAILER = struct.Struct("<4sII"), struct.Struct("<qqqq4s")
 LINES = 32           # chunks encoded as one text
+#: A chunk with a line break, with white space at its end or twice at its start.
+UNSAFE = re.compile(rf"\n|[{WHITE}]\Z|\A[{WHITE}][{WHITE}]|{MARK}")
 SPAN = 64            # blocks packed or unpacked at once
 
 
@@ -161,8 +165,19 @@ class TokenFile:
             yield (doc if self.valid[i] else None), start, stop - start, crc
 
 
-#: A chunk with a line break, with white space at its end or twice at its start, or with the mark.
-UNSAFE = re.compile(rf"\n|[{WHITE}](?:{MARK}|\Z)|(?:\A|{MARK})(?:[{WHITE}][{WHITE}]|{MARK})|\A{MARK}|{MARK}\Z")
+#: A chunk that is one match of letters, perhaps after a space, and what may
+#: follow them in one more match: the ids of the two stand one after the other.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+WORD, ENDED = re.compile(f" ?[{LETTERS}]+"), re.compile(f"( ?[{LETTERS}]+)([,.;:!?]+)")
+WORDS = 1024         # words encoded as one text
+
+
+def byte_letters() -> dict[int, int]:
+    """Code points that stand for bytes in a byte-level vocabulary: printable
+    Latin-1 characters for themselves, the other bytes from 256 on."""
+    own = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class Encoder:
@@ -178,41 +193,72 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
-        self.table = ChunkTable(self._encode)
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _alone(self, text: str) -> bool:
-        """Whether a chunk, or one of several chunks joined by the mark, can't be a line."""
-        return self.newline is None or UNSAFE.search(text) is not None or any(t in text for t in self.added)
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        """Chunks are encoded as lines of one text, which is several times
-        faster than one by one; those with a line break or an added token go alone."""
-        out: dict[str, bytes] = {}
-        if self._alone(MARK.join(parts)):
-            apart = [c for c in parts if self._alone(c)]
-            out = dict(zip(apart, (np.array(i, "<u4").tobytes() for i in self._ids(apart))))
-            lines = [c for c in parts if c not in out]
-            out.update(zip(lines, self._encode(lines) if lines else []))
-            return [out[c] for c in parts]
-        texts = [parts[at:at + LINES] for at in range(0, len(parts), LINES)]
-        packed: list[bytes] = []
-        for some, got in zip(texts, self._ids(["\n".join(t) for t in texts])):
-            ids = np.array(got, "<u4")
+        # with the usual byte-level split a word is one match: the model takes
+        # it in the vocabulary's letters, without the split's pattern
+        parts = json.loads(self.tokenizer.to_str())
+        split, self.words = parts.get("pre_tokenizer") or {}, None
+        self.letters = byte_letters()
+        cut = "\n".translate(self.letters)
+        if (self.newline is not None and parts.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex")
+                and not split.get("add_prefix_space") and not any(WORD.search(t) and (WORD.fullmatch(t) or ENDED.fullmatch(t)) for t in self.added)):
+            from tokenizers import pre_tokenizers
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.Split(cut, "isolated")
+        self.table = ChunkIds(self._encode)
+
+    def _lines(self, tokenizer, parts: list[str], cut: str, n: int) -> list[bytes]:
+        """Ids of parts encoded ``n`` at a time as lines of one text."""
+        out: list[bytes] = []
+        groups = [parts[at:at + n] for at in range(0, len(parts), n)]
+        for some, e in zip(groups, tokenizer.encode_batch_fast(list(map(cut.join, groups)), add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
             cuts = np.flatnonzero(ids == self.newline) * 4
-            data, starts, ends = ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(got) * 4]
+            data, starts, ends = ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(ids) * 4]
             if len(starts) == len(some):
-                packed.extend(map(data.__getitem__, map(slice, starts, ends)))
+                out.extend(map(data.__getitem__, map(slice, starts, ends)))
             else:
-                packed.extend(np.array(i, "<u4").tobytes() for i in self._ids(some))
-        return packed
+                out.extend(self._alone(some, tokenizer))
+        return out
+
+    def _alone(self, parts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        text = "\n".join(words).encode().decode("latin-1").translate(self.letters)
+        cut = "\n".translate(self.letters)
+        return self._lines(self.words, text.split(cut), cut, WORDS) if words else []
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Words by the model, all other chunks by the library as lines of one
+        text, which is several times faster than one by one; those with white
+        space that could join a line's end or an added token go alone."""
+        joined = MARK.join(chunks)
+        added = [t for t in self.added if t in joined]
+        found: dict[str, bytes] = {}
+        words = [c for c, m in zip(chunks, map(WORD.fullmatch, chunks)) if m] if self.words and not added else []
+        found.update(zip(words, self._word_ids(words)))
+        rest = [c for c in chunks if c not in found] if len(words) < len(chunks) else []
+        if self.words and not added:
+            ends = {c: m.groups() for c in rest if (m := ENDED.fullmatch(c))}
+            new = list({w for w, _ in ends.values()} - found.keys())
+            old = [w for w in new if self.table.known(w) is not None]
+            found.update((w, self.table.known(w)) for w in old)
+            new = [w for w in new if w not in found]
+            found.update(zip(new, self._word_ids(new)))
+            tails = list({t for _, t in ends.values()})
+            ids = dict(zip(tails, self._alone(tails)))
+            found.update((c, found[w] + ids[t]) for c, (w, t) in ends.items())
+            rest = [c for c in rest if c not in ends]
+        alone = [c for c in rest if self.newline is None or UNSAFE.search(c) or any(t in c for t in added)]
+        found.update(zip(alone, self._alone(alone) if alone else []))
+        lines = [c for c in rest if c not in found] if alone else rest
+        found.update(zip(lines, self._lines(self.tokenizer, lines, "\n", LINES) if lines else []))
+        return [found[c] for c in chunks]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the text, ids) in order, at least once a text; a long
         text comes in several parts."""
-        return ((i, np.frombuffer(part, "<u4")) for i, part in self.table.stream(texts))
+        return self.table.stream(texts)
 
 
 @lru_cache(maxsize=2)
@@ -230,7 +276,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     ascending id order (nulls last; equal ids by a hash of the text) as one
     file a partition under ``folder``.  Null text: the end id alone.  Returns
     the stored manifest ``part, path, n_docs, n_ids, n_bytes, first_id``, where
-    ``first_id`` counts the ids of all files before."""
+    ``first_id`` counts the ids of all files before.  Repeated rows are written
+    as often as they stand; texts of any length are encoded whole, a part at a
+    time; columns besides the two are not looked at; an empty table has an
+    empty manifest."""
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         own, out, w = encoder(tokenizer), None, None

@@ -113,3 +113,25 @@ def test_awkward_rows(spark):
     assert [r[1] for r in got] == list(np.cumsum([0] + [r[2] for r in got[:-1]]))
     assert [r[0] for r in got] == [r[0] for r in want]
     assert roundtrip(empty(spark, DOCS)) == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["the", " the", " The", "été", " straße,", "word.", "...", "a.,b", "×÷", " ªº", "ɐx", "ǀ", " ", "\n", "\n\n", "'s", "12",
+                                          SPECIAL, "\t", "end;", " x!?"]), max_size=12).map("".join), max_size=6))
+def test_batches_of_texts_are_encoded_as_alone(texts):
+    got = [[] for _ in texts]
+    for i, part in tf.encoder(PATH).encode(texts):
+        got[i] += part.tolist()
+    assert got == [plain_tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_generations_of_the_chunk_table():
+    """A small table changes generations within a few batches; the ids stay the same."""
+    own = tf.Encoder(PATH)
+    own.table.held = 5
+    texts = [f"some{i % 9} words{i % 4}, and more{i}. " for i in range(60)]
+    for _ in range(2):
+        for at in range(0, 60, 7):
+            some = texts[at:at + 7]
+            assert [i.tolist() for i in own.table.ids(some)] == [plain_tokenizer().encode(t, add_special_tokens=False).ids for t in some]
+    assert len(own.table.young) < 100 and own.table.old
