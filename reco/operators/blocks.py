@@ -668,173 +668,3 @@ def sparse_product(left: DataFrame, right: DataFrame, pairs: DataFrame, mode: st
     if n is not None:
         r = r.filter(F.col("rank") <= n)
     return r.select("l", "r", "pred", "rank")
-
-
-# --------------------------------------------------------------------------
-# per-(user, item) neighbour selection: user kNN over neighbours who rated
-
-def rated_neighbor_predictions(sim: DataFrame, ratings: DataFrame, k: int, mode: str, n: int | None = None,
-                               max_cell: int = 1_000_000, chunk_triples: int = 4_000_000,
-                               max_task_rows: int = 4_000_000,
-                               force_dim_slices: int | None = None) -> DataFrame:
-    """For every (user u, item i), the k most similar users v (score
-    desc, v asc) *among those who rated i*; pred = sum(s*r)/sum(|s|), num > 0.
-
-    ``sim`` (l=u, d=v, s) lists all neighbours of u; ``ratings`` (user, item,
-    rating).  Cells are (user block x item block); inside a cell the
-    (u, i, v) candidates are generated in chunks of the shared v and merged
-    into a running top-k per (u, i), so a cell never holds more than
-    a*b*k + one chunk of candidates.  ``mode`` as in ``sparse_product``
-    ("unseen_topn" -> (l, r, pred, rank); "seen" -> (l, r, pred, a))."""
-    spark = sim.sparkSession
-    from reco.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    S = sim.select(F.col("l").cast("long").alias("l"), F.col("d").cast("long").alias("d"),
-                   F.col("s").cast("double").alias("s")).checkpoint(eager=True)
-    Rt = ratings.select(F.col("user_id").cast("long").alias("u"), F.col("item_id").cast("long").alias("i"),
-                        F.col("rating").cast("double").alias("a")).checkpoint(eager=True)
-    st_l = S.agg(F.approx_count_distinct("l").alias("n"), F.count(F.lit(1)).alias("c")).first()
-    st_r = Rt.agg(F.approx_count_distinct("i").alias("n"), F.count(F.lit(1)).alias("c")).first()
-    par = max(1, spark.sparkContext.defaultParallelism)
-    bl, br = _choose_blocks(int(st_l["n"] or 1), int(st_r["n"] or 1), int(st_l["c"] or 0), int(st_r["c"] or 0),
-                            max_cell, par)
-    if force_dim_slices is not None:
-        nd = force_dim_slices
-    else:
-        # a hot item (all its raters) or a user with very many neighbours
-        # makes one cell too big: slice the shared neighbour dimension
-        ml = S.groupBy(block_of("l", bl, 3).alias("b")).count().agg(F.max("count")).first()[0] or 0
-        mr = Rt.groupBy(block_of("i", br, 5).alias("b")).count().agg(F.max("count")).first()[0] or 0
-        nd = max(1, math.ceil((int(ml) + int(mr)) / max_task_rows))
-    sl_l = block_of("d", nd, 17) if nd > 1 else F.lit(0)
-    sl_r = block_of("u", nd, 17) if nd > 1 else F.lit(0)
-    Lr = S.select(F.lit(0).alias("_side"), block_of("l", bl, 3).alias("_bl"),
-                  F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("_br"), sl_l.alias("_s"),
-                  "l", F.lit(None).cast("long").alias("r"), "d", F.col("s").alias("x"))
-    Rr = Rt.select(F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0), F.lit(bl - 1))).alias("_bl"),
-                   block_of("i", br, 5).alias("_br"), sl_r.alias("_s"), F.lit(None).cast("long").alias("l"),
-                   F.col("i").alias("r"), F.col("u").alias("d"), F.col("a").alias("x"))
-    Pr = Rt.select(F.lit(2).alias("_side"), block_of("u", bl, 3).alias("_bl"), block_of("i", br, 5).alias("_br"),
-                   F.lit(0).alias("_s"), F.col("u").alias("l"), F.col("i").alias("r"),
-                   F.lit(None).cast("long").alias("d"), F.col("a").alias("x"))
-    rows = Lr.unionByName(Rr)
-    if nd == 1:
-        rows = rows.unionByName(Pr)
-
-    def candidates(pdf: pd.DataFrame):
-        """Running top-k candidates of the cell: (ida, idb, [lin, -s, v, s*r, |s|])."""
-        lft = pdf[pdf["_side"] == 0]
-        rgt = pdf[pdf["_side"] == 1]
-        ida = np.unique(lft["l"].to_numpy("int64"))
-        idb = np.unique(rgt["r"].to_numpy("int64"))
-        nb_ = len(idb)
-        if len(ida) == 0 or nb_ == 0:
-            return ida, idb, None
-        li = np.searchsorted(ida, lft["l"].to_numpy("int64"))
-        ld = lft["d"].to_numpy("int64")
-        ls = lft["x"].to_numpy("float64")
-        ri = np.searchsorted(idb, rgt["r"].to_numpy("int64"))
-        rd = rgt["d"].to_numpy("int64")
-        ra = rgt["x"].to_numpy("float64")
-        lo_, ro_ = np.argsort(ld, kind="stable"), np.argsort(rd, kind="stable")
-        li, ld, ls = li[lo_], ld[lo_], ls[lo_]
-        ri, rd, ra = ri[ro_], rd[ro_], ra[ro_]
-        dl, sl, cl = np.unique(ld, return_index=True, return_counts=True)
-        dr, sr, cr = np.unique(rd, return_index=True, return_counts=True)
-        _, il, ir = np.intersect1d(dl, dr, assume_unique=True, return_indices=True)
-        sl, cl, sr, cr, dv = sl[il], cl[il], sr[ir], cr[ir], dl[il]
-        npairs = cl * cr
-        # running top-k candidates: (lin, neg score, v, s*r, |s|)
-        keep = [np.array([], "int64"), np.array([], "float64"), np.array([], "int64"),
-                np.array([], "float64"), np.array([], "float64")]
-        bounds = np.cumsum(npairs)
-        start = 0
-        while start < len(npairs):
-            base = bounds[start - 1] if start > 0 else 0
-            end = max(int(np.searchsorted(bounds, base + chunk_triples, side="right")), start + 1)
-            g = np.arange(start, end)
-            cnt = npairs[g]
-            rep = np.repeat(np.arange(len(g)), cnt)
-            first = np.concatenate(([0], np.cumsum(cnt)[:-1]))
-            t = np.arange(int(cnt.sum())) - first[rep]
-            crr = cr[g][rep]
-            lrow = sl[g][rep] + t // crr
-            rrow = sr[g][rep] + t % crr
-            cand = [li[lrow] * nb_ + ri[rrow], -ls[lrow], dv[g][rep], ls[lrow] * ra[rrow], np.abs(ls[lrow])]
-            allc = [np.concatenate([a, b]) for a, b in zip(keep, cand)]
-            o = np.lexsort((allc[2], allc[1], allc[0]))
-            allc = [x[o] for x in allc]
-            starts = np.r_[0, np.flatnonzero(np.diff(allc[0])) + 1]
-            pos = np.arange(len(allc[0])) - np.repeat(starts, np.diff(np.r_[starts, len(allc[0])]))
-            m = pos < k
-            keep = [x[m] for x in allc]
-            start = end
-        return ida, idb, keep
-
-    def sliced(pdf: pd.DataFrame) -> pd.DataFrame:
-        ida, idb, keep = candidates(pdf)
-        if keep is None or len(keep[0]) == 0:
-            return pd.DataFrame({"l": np.array([], "int64"), "r": np.array([], "int64"),
-                                 "v": np.array([], "int64"), "s": np.array([], "float64"),
-                                 "sr": np.array([], "float64")})
-        nb_ = len(idb)
-        return pd.DataFrame({"l": ida[keep[0] // nb_], "r": idb[keep[0] % nb_], "v": keep[2],
-                             "s": -keep[1], "sr": keep[3]})
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        ida, idb, keep = candidates(pdf)
-        nb_ = len(idb)
-        kn = pdf[pdf["_side"] == 2]
-        empty = pd.DataFrame({"l": np.array([], "int64"), "r": np.array([], "int64"), "pred": np.array([], "float64"),
-                              "a": np.array([], "float64"), "_key": np.array([], "float64")})
-        if keep is None or len(keep[0]) == 0:
-            return empty
-        uniq, inv = np.unique(keep[0], return_inverse=True)
-        num = np.bincount(inv, weights=keep[3])
-        den = np.bincount(inv, weights=keep[4])
-        ok = num > 0
-        uniq, pred = uniq[ok], num[ok] / den[ok]
-        pl, pr, pa = kn["l"].to_numpy("int64"), kn["r"].to_numpy("int64"), kn["x"].to_numpy("float64")
-        a_i = np.searchsorted(ida, pl)
-        b_i = np.searchsorted(idb, pr)
-        hit = (a_i < len(ida)) & (b_i < nb_)
-        hit[hit] = (ida[a_i[hit]] == pl[hit]) & (idb[b_i[hit]] == pr[hit])
-        klin = a_i[hit] * nb_ + b_i[hit]
-        known = np.isin(uniq, klin)
-        r_, c_ = uniq // nb_, uniq % nb_
-        if mode == "seen":
-            amap = dict(zip(klin.tolist(), pa[hit].tolist()))
-            a_ = np.array([amap[x] for x in uniq[known].tolist()], dtype="float64")
-            return pd.DataFrame({"l": ida[r_[known]], "r": idb[c_[known]], "pred": pred[known], "a": a_, "_key": 0.0})
-        u = ~known
-        r_, c_, pred = r_[u], c_[u], pred[u]
-        kv = -np.round(pred, 9)
-        o = np.lexsort((c_, kv, r_))
-        r_, c_, kv, pred = r_[o], c_[o], kv[o], pred[o]
-        if len(r_) == 0:
-            return empty
-        starts = np.r_[0, np.flatnonzero(np.diff(r_)) + 1]
-        pos = np.arange(len(r_)) - np.repeat(starts, np.diff(np.r_[starts, len(r_)]))
-        m = pos < (n if n is not None else len(r_))
-        return pd.DataFrame({"l": ida[r_[m]], "r": idb[c_[m]], "pred": pred[m], "a": np.nan, "_key": kv[m]})
-
-    if nd > 1:
-        cand = rows.groupBy("_bl", "_br", "_s").applyInPandas(sliced, "l long, r long, v long, s double, sr double")
-        from reco.operators.ranking import top_n_per_group
-        top = top_n_per_group(cand, ["l", "r"], [F.col("s").desc(), F.col("v").asc()], k, "_rk")
-        agg = (top.groupBy("l", "r").agg(F.sum("sr").alias("num"), F.sum(F.abs("s")).alias("den"))
-               .filter(F.col("num") > 0).select("l", "r", (F.col("num") / F.col("den")).alias("pred")))
-        known = Rt.select(F.col("u").alias("l"), F.col("i").alias("r"), "a")
-        if mode == "seen":
-            return agg.join(known, ["l", "r"])
-        un = agg.join(known, ["l", "r"], "left_anti")
-        return top_n_per_group(un, ["l"], [F.round("pred", 9).desc(), F.col("r").asc()], n).select(
-            "l", "r", "pred", "rank")
-    out = rows.groupBy("_bl", "_br").applyInPandas(cell, "l long, r long, pred double, a double, _key double")
-    if mode == "seen":
-        return out.select("l", "r", "pred", "a")
-    w = Window.partitionBy("l").orderBy(F.col("_key").asc(), F.col("r").asc())
-    r = out.withColumn("rank", F.row_number().over(w))
-    if n is not None:
-        r = r.filter(F.col("rank") <= n)
-    return r.select("l", "r", "pred", "rank")

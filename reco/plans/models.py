@@ -18,7 +18,7 @@ from reco.operators import factorization as FA
 from reco.operators import features as FE
 from reco.operators import interactions as IN
 from reco.operators import popularity as PO
-from reco.operators.similarity import ann_neighbors
+from reco.operators.forest import forest_neighbors
 from reco.plans.registry import SPLIT_SEED, Fx, query
 from reco.session import app_scratch_dir
 from reco.sources import sinks as SK
@@ -201,8 +201,8 @@ def _e9(f: Fx):
 
 @query("k4_ann_vectors")
 def _k4(f: Fx):
-    """K4: LSH approximate top-10 neighbours of every embedding vector."""
-    return ann_neighbors(fx.vectors(f.t), k=10)
+    """K4: top-10 neighbours of every embedding vector from the forest."""
+    return forest_neighbors(fx.vectors(f.t), k=10)
 
 
 @query("m12_m14_explicit_best_refit_test")
