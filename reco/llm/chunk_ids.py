@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from reco.llm.pretokens import CHUNK, LONG, MARK, WHITE, pieces
 
-BATCH = 1 << 23      # characters cut at once
-HELD = 300_000       # chunks of a generation
+BATCH = 1 << 22      # characters cut at once
+HELD = 250_000       # chunks of a generation
 #: Texts that need the chunk pattern: two white characters in a row, white
 #: space other than space and line break, or the mark.
 ODD = "[ \n][ \n]|[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE if c not in " \n") + f"\\x{{{ord(MARK):x}}}]"
