@@ -1,14 +1,16 @@
 """Homomorphic multiset fingerprints of documents, in DataFrame functions only.
 
-A text is a multiset of paragraphs (lines), a paragraph a multiset of
-sentences.  Every paragraph is hashed to ``WIDE`` 64-bit numbers and every
-sentence to ``2 * WORDS`` one-bit lanes; both are summed without regard to
-order, the wide numbers modulo 2^64 and the lanes modulo 2^32 (two lanes share
-a 64-bit word).  So fingerprints add: ``add`` and ``remove`` insert or delete
+A text is a multiset of paragraphs (lines), a paragraph a multiset of runs: a
+run ends with a sentence, a clause, or a word with one of the letters
+``RUN_ENDS`` at its end, so runs are a few words long, also where a text is one
+sentence, and an edit changes only the runs around it.  Every paragraph is
+hashed to ``WIDE`` 64-bit numbers and every run to ``2 * WORDS`` one-bit lanes;
+both are summed without regard to order, the wide numbers modulo 2^64 and the
+lanes modulo 2^32 (two lanes share a 64-bit word).  So fingerprints add: ``add`` and ``remove`` insert or delete
 paragraphs without the text, and equal multisets have equal fingerprints.
 
 The wide numbers tell equal from unequal.  The lanes, read as signed sums
-(twice the set bits less the number of sentences), estimate the squared
+(twice the set bits less the number of runs), estimate the squared
 distance of two multisets, and with the squared norms a likeness from 0 to 1:
 ``1 - |a - b|^2 / (|a|^2 + |b|^2)``.  With 128 lanes its standard error is
 about 0.12 at the middle of the range and falls to 0 for equal texts.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reco.llm.common import free_name
+from reco.llm.common import free_name, stored
 
 WIDE = 4
 SHIFTS = 32              # a 64-bit hash gives 32 words of two lanes
@@ -26,10 +28,14 @@ HASHES = 2
 WORDS = SHIFTS * HASHES
 LANE_MASK = 0x0000000100000001
 PARAGRAPH = r"\n"
-SENTENCE = r"\n|(?<=[.!?])\s+"
+RUN_ENDS = "esnrt"
+RUN = rf"\n|(?<=[.!?,;:{RUN_ENDS}])\s+"
+CHUNK = 127              # runs whose lanes are summed in fields of 8 bits
+BYTE_MASK, BYTES_MASK = 0x0101010101010101, 0x000000FF000000FF
 COARSE = 128             # quantiles of the id that bound the window's buckets
 BUCKET_ROWS = 1024       # rows aimed at in one bucket
-MAX_BUCKETS = 16384      # bounds the bucket table, whatever the input
+SUPER = 4096             # buckets whose order one task finds
+TIES = 1 << 53
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -53,25 +59,38 @@ def _join_halves(high: Column, low: Column) -> Column:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str, alias: str) -> DataFrame:
-    """``docs`` with ``alias array<bigint>``: number of sentences, ``WIDE``
+    """``docs`` with ``alias array<bigint>``: number of runs, ``WIDE``
     paragraph sums, ``WORDS`` lane sums.  Null or empty text: all zero.  Every
-    paragraph and sentence of the whole text counts, repeats included.  Pieces
-    and hashes are columns of their own, so each is made once a text."""
+    paragraph and run of the whole text counts, repeats included.  Pieces,
+    hashes and partial sums are columns of their own, so each is made once a
+    text."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    par, sen = free_name(docs.columns, "_paragraphs"), free_name(docs.columns, "_sentences")
+    par, run = free_name(docs.columns, "_paragraphs"), free_name(docs.columns, "_runs")
     wide = [free_name(docs.columns, f"_wide{i}") for i in range(WIDE)]
     lane = [free_name(docs.columns, f"_lane{i}") for i in range(HASHES)]
-    d = docs.withColumns({par: _pieces(text, PARAGRAPH), sen: _pieces(text, SENTENCE)})
+    part = [[free_name(docs.columns, f"_part{i}_{j}") for j in range(8)] for i in range(HASHES)]
+    d = docs.withColumns({par: _pieces(text, PARAGRAPH), run: _pieces(text, RUN)})
     d = d.withColumns({w: _hashes(F.col(par), i) for i, w in enumerate(wide)}
-                      | {w: _hashes(F.col(sen), WIDE + i) for i, w in enumerate(lane)})
-    words = F.array(F.size(sen).cast("long"), *[_wrapping(F.col(w)) for w in wide],
-                    *[_lane_sum(F.col(w), j) for w in lane for j in range(SHIFTS)])
-    return d.withColumn(alias, words).drop(par, sen, *wide, *lane)
+                      | {w: _hashes(F.col(run), WIDE + i) for i, w in enumerate(lane)})
+    d = d.withColumns({part[i][j]: _byte_sums(F.col(w), j) for i, w in enumerate(lane) for j in range(8)})
+    words = F.array(F.size(run).cast("long"), *[_wrapping(F.col(w)) for w in wide],
+                    *[_lane_sum(F.col(part[i][j % 8]), j // 8) for i in range(HASHES) for j in range(SHIFTS)])
+    return d.withColumn(alias, words).drop(par, run, *wide, *lane, *[c for p in part for c in p])
 
 
-def _lane_sum(hashes: Column, j: int) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"),
-                       lambda s, h: s + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANE_MASK)))
+def _byte_sums(hashes: Column, j: int) -> Column:
+    """For each ``CHUNK`` hashes the sums of bits ``j, j + 8, ...`` in eight
+    fields of a byte, which can't overflow: an array of one word a chunk."""
+    starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.aggregate(
+        F.slice(hashes, at, F.lit(CHUNK)), F.lit(0).cast("long"),
+        lambda s, h: s + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(BYTE_MASK))))
+
+
+def _lane_sum(parts: Column, field: int) -> Column:
+    """Two lanes of 32 bits from byte ``field`` and the fourth after it."""
+    return F.aggregate(parts, F.lit(0).cast("long"),
+                       lambda s, a: s + F.shiftrightunsigned(a, 8 * field).bitwiseAND(F.lit(BYTES_MASK)))
 
 
 def _added(x: Column, y: Column) -> Column:
@@ -129,52 +148,63 @@ def likeness(a: Column, b: Column) -> Column:
             .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - _squares(a, b) / norm))))
 
 
-def _bucket(id_: Column, bounds: list, sub: int) -> Column:
-    """Number that does not fall as the id rises: which quantile range the id
-    is in, then which of ``sub`` even parts of that range.  Null: 0."""
-    if not bounds:
-        return F.lit(0)
-    edges = F.array(*[F.lit(b) for b in bounds])
-    k = F.size(F.filter(edges, lambda b: b <= id_))        # 1..len for ids in range
-    low = F.element_at(edges, F.greatest(k, F.lit(1))).cast("double")
-    high = F.element_at(edges, F.least(k + 1, F.lit(len(bounds)))).cast("double")
-    part = F.when(high > low, F.floor((id_.cast("double") - low) / (high - low) * sub)).otherwise(F.lit(0))
-    inner = F.greatest(F.lit(0), F.least(F.lit(sub - 1), part))
-    return F.coalesce(k * sub + inner + 1, F.lit(0)).cast("int")
-
-
-def with_next(docs: DataFrame, id_col: str, fields: list[str], alias: str = "next") -> DataFrame:
+def _bucket(id_: Column, tie: Column, marks: list, n: int, nulls: int) -> Column:
+    """Number that does not fall as the id rises or, for one id, as the tie
+    falls; about ``BUCKET_ROWS`` rows have the same.  ``marks`` are quantiles of
+    the id: the range between two is cut evenly, an id that is several of them
+    by its ties.  Null ids have the negative numbers, by their ties."""
+    per = max(1, -(-n // (BUCKET_ROWS * COARSE)))       # buckets of a range between neighbouring quantiles
+    ids = sorted(set(marks))
+    own = [(marks.count(v) - 1) * per for v in ids]     # buckets of an id by itself
+    low = F.lit(-1) - F.floor(tie / TIES * max(1, -(-nulls // BUCKET_ROWS)))
+    if not ids:
+        return low.cast("long")
+    base = [sum(own[:k]) + k * per for k in range(len(ids))]
+    edges, owns, bases = (F.array(*[F.lit(x) for x in xs]) for xs in (ids, own, base))
+    k = F.greatest(F.lit(1), F.size(F.filter(edges, lambda e: e <= id_)))
+    a, b = F.element_at(edges, k).cast("double"), F.element_at(edges, F.least(k + 1, F.lit(len(ids)))).cast("double")
+    mine = F.element_at(owns, k)
+    by_tie = F.floor((1 - (tie + 1) / TIES) * mine)
+    by_id = F.when(b > a, F.least(F.lit(per - 1), F.floor((id_.cast("double") - a) / (b - a) * per))).otherwise(F.lit(0))
+    inner = F.when((id_ == F.element_at(edges, k)) & (mine > 0), by_tie).otherwise(mine + F.greatest(F.lit(0), by_id))
+    return F.when(id_.isNull(), low).otherwise(F.element_at(bases, k) + inner).cast("long")
+
+
+def with_next(docs: DataFrame, id_col: str, fields: list[str], alias: str = "next", tie_by: list[str] | None = None) -> DataFrame:
     """``docs`` with a struct ``alias`` of ``fields`` of the next row by
     descending numeric id (after the last: the first); null ids come last.
+    Rows that share an id, or have none, are ordered by a hash of ``tie_by``
+    (else ``fields``) and spread over buckets by it.
 
-    One shuffle of the rows: ids fall into ordered buckets (a bounded number
-    of quantile ranges, split evenly), a window runs in each bucket, and each
-    bucket also gets a copy of the first row of the bucket after it, so that no
-    order spans more than a bucket.  Rows with equal ids are ordered by a hash
-    of ``fields``.
+    One shuffle of the rows: they fall into ordered buckets, a window runs in
+    each bucket, and each bucket also gets a copy of the first row of the
+    bucket after it, so that no order spans more than a bucket.
     """
     id_ = F.col(f"`{id_col}`")
-    stats = docs.agg(F.count(F.lit(1)), F.percentile_approx(id_, [i / COARSE for i in range(COARSE + 1)], 10000)).first()
-    bounds = sorted(set(stats[1] or []))
-    sub = max(1, min(MAX_BUCKETS, -(-stats[0] // BUCKET_ROWS)) // COARSE)
-    b, g, tie, at, own, top, to = (free_name(docs.columns + [alias], n) for n in
-                                   ("_bucket", "_guest", "_tie", "_at", "_own", "_top", "_to"))
-    d = docs.withColumn(b, _bucket(id_, bounds, sub))
-    # the first row of each bucket is a guest in the bucket before it; at most
-    # MAX_BUCKETS + 2 * COARSE rows of three numbers
-    order = Window.orderBy(F.desc(b))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = (d.groupBy(b).agg(F.max(id_).alias(top))
-              .select(F.col(b).alias(own), top, F.coalesce(F.lag(b).over(order), F.last(b).over(whole)).alias(to)))
-    m = d.join(F.broadcast(firsts), F.col(b) == F.col(own), "left")
+    b, g, tie, at, own, top, to, above, group = (free_name(docs.columns + [alias], n) for n in
+                                                 ("_bucket", "_guest", "_tie", "_at", "_own", "_top", "_to", "_above", "_group"))
+    n, nulls, marks = docs.agg(F.count(F.lit(1)), F.count_if(id_.isNull()),
+                               F.percentile_approx(id_, [i / COARSE for i in range(COARSE + 1)], 10000)).first()
+    d = docs.withColumn(tie, F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{f}`") for f in tie_by or fields]), 11))
+    d = d.withColumn(b, _bucket(id_, F.col(tie), list(marks or []), n, nulls))
+    # the first row of each bucket is a guest in the bucket before it: the
+    # order of the buckets is found by groups of SUPER, then over the groups
+    order = F.struct(id_.isNotNull(), F.coalesce(id_.cast("decimal(38,9)"), F.lit(0)), -F.col(tie))
+    heads = stored(d.select(b, order.alias(top)).groupBy(b).agg(F.max(top).alias(top)).withColumn(group, F.floor(F.col(b) / SUPER)), "bucket-heads")
+    within = Window.partitionBy(group).orderBy(b)
+    whole = Window.orderBy(group)
+    groups = (heads.groupBy(group).agg(F.min(b).alias(own)).withColumn(above, F.coalesce(
+        F.lead(own).over(whole), F.first(own).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select(group, above))
+    heads = stored(heads.join(groups, group).withColumn(to, F.coalesce(F.lead(b).over(within), F.col(above)))
+                   .select(F.col(b).alias(own), top, to), "bucket-heads")
+    m = d.join(heads, F.col(b) == F.col(own), "left")
 
     def place(k: str, guest: int) -> Column:
         return F.struct(F.col(k).alias("k"), F.lit(guest).alias("g"))
 
-    m = (m.withColumn(at, F.explode(F.when(id_.eqNullSafe(F.col(top)), F.array(place(b, 0), place(to, 1)))
+    m = (m.withColumn(at, F.explode(F.when(F.col(top) == order, F.array(place(b, 0), place(to, 1)))
                                     .otherwise(F.array(place(b, 0)))))
-         .withColumn(b, F.col(f"{at}.k")).withColumn(g, F.col(f"{at}.g"))
-         .withColumn(tie, F.xxhash64(*[F.col(f"`{f}`") for f in fields])))
+         .withColumn(b, F.col(f"{at}.k")).withColumn(g, F.col(f"{at}.g")))
     w = Window.partitionBy(b).orderBy(F.asc(g), F.desc_nulls_last(id_), F.asc(tie))
     following = F.lead(F.struct(*[F.col(f"`{f}`") for f in fields])).over(w)
     return (m.withColumn(alias, following).filter(F.col(g) == 0)
@@ -191,12 +221,12 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next`` per row.  Null text counts as empty; an empty
-    table gives an empty result; repeated rows each have a result, the next
-    document of one repeat is the other; the next document of a single row is
-    the row itself."""
+    table gives an empty result; repeated rows each have a result and follow
+    each other; rows without an id come after all others; the next document of
+    a single row is the row itself."""
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     d = with_fingerprint(d, "text", "words")
-    e = with_next(d, "doc_id", ["text", "words"]).withColumn("edited", edited(F.col("text"), F.col("next.text")))
+    e = with_next(d, "doc_id", ["text", "words"], tie_by=["text"]).withColumn("edited", edited(F.col("text"), F.col("next.text")))
     e = with_fingerprint(e, "edited", "edited_words")
     return e.select("doc_id", F.length("text").cast("long").alias("n_chars"),
                     F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),

@@ -30,10 +30,11 @@ def test_sums_against_brute_force(spark):
         seed = np.uint64(xxh64_intdigest(int(i).to_bytes(4, "little"), seed=42))
         return xxh64_intdigest(p.encode(), seed=int(seed))
 
-    text = "\n".join(EN for _ in range(3)) + "\nother line. And more"
+    text = "\n".join(EN for _ in range(30)) + "\nother line. And more"
     w = words(spark, [text])[0].view(np.uint64)
     paragraphs = [p for p in text.split("\n") if p]
-    sentences = [s for s in re.split(r"\n|(?<=[.!?])\s+", text) if s]
+    sentences = [s for s in re.split(mh.RUN, text) if s]
+    assert len(sentences) > mh.CHUNK      # so that sums of several chunks are added
     assert int(w[0]) == len(sentences)
     for i in range(mh.WIDE):
         assert int(w[1 + i]) == sum(h(i, p) for p in paragraphs) & mask
@@ -88,6 +89,32 @@ def test_few_rows(spark):
         check_rows([r[:2] for r in rows[:n]], mh.fingerprints(docs(spark, rows[:n])).collect())
 
 
+def test_a_third_without_an_id_are_spread(spark):
+    """Null ids, and one id that many rows share, fall into as many buckets as other rows."""
+    rows = ([(i, f"text {i}") for i in range(30_000)] + [(None, f"none {i}") for i in range(20_000)] + [(777, f"same {i}") for i in range(10_000)])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 11)
+    stats = d.agg(F.percentile_approx("doc_id", [i / mh.COARSE for i in range(mh.COARSE + 1)], 10000)).first()[0]
+    b = d.select(mh._bucket(F.col("doc_id"), tie, list(stats), len(rows), 20_000).alias("b"), "doc_id", tie.alias("t")).cache()
+    sizes = [r["count"] for r in b.groupBy("b").count().collect()]
+    assert max(sizes) < 4 * mh.BUCKET_ROWS and len(sizes) > len(rows) / mh.BUCKET_ROWS / 2
+    # buckets follow the order: larger ids first, ties rising
+    order = [r.b for r in b.orderBy(F.desc_nulls_last("doc_id"), "t").collect()]
+    assert order == sorted(order, reverse=True)
+    got = {r.text: r.next.text for r in mh.with_next(d, "doc_id", ["text"]).collect()}
+    by_id = d.withColumn("t", tie).orderBy(F.desc_nulls_last("doc_id"), "t").collect()
+    assert got == {r.text: by_id[(k + 1) % len(by_id)].text for k, r in enumerate(by_id)}
+
+
+def test_edited_texts_are_nearer_than_the_next(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mh.fingerprints(d).collect()
+    assert np.mean([r.near_edited > r.near_next for r in got]) >= 0.99
+    assert np.mean([r.near_edited < 0.3 for r in got]) < 0.07
+    r = words(spark, ["one sentence of some length that nobody ended", "one sentence of some length that nobody wrote"])
+    assert (r[0][1 + mh.WIDE:] != r[1][1 + mh.WIDE:]).any() and int(r[0][0]) > 1
+
+
 def test_awkward_rows(spark):
     out = mh.fingerprints(clashing(docs(spark), "words", "next", "_bucket", "edited")).collect()
     assert len(out) == len(DOC_ROWS)
