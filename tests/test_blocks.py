@@ -130,3 +130,22 @@ def test_product_auto_slices_hot_user(spark):
     a = NB.knn_recommendations(nb, df, by, 5).collect()
     b = NB.knn_recommendations(nb, df, by, 5, max_task_rows=50).collect()  # forces slicing by size
     assert sorted((r.user_id, r.rank, r.item_id) for r in a) == sorted((r.user_id, r.rank, r.item_id) for r in b)
+
+
+def test_sparse_lists_go_to_their_entities_only(spark, monkeypatch):
+    """No copy of the table for every block, whatever the number of blocks;
+    dims longer than a list, values that are no small integers."""
+    def refuse(*args):
+        raise AssertionError("rows copied to every block pair")
+
+    monkeypatch.setattr(blocks, "to_block_pairs", refuse)
+    monkeypatch.setattr(blocks, "LIST_ROWS", 8)
+    rng = np.random.default_rng(11)
+    for values in (rng.integers(1, 6, 700), rng.normal(size=700)):
+        rows = {(int(e), int(d)): float(v) for e, d, v in zip(rng.integers(0, 50, 700), rng.integers(0, 40, 700), values)}
+        rows.update({(e, 0): float(values[e]) for e in range(50)})
+        rows = [(e + 2 ** 33, d, v) for (e, d), v in rows.items()]
+        df = spark.createDataFrame(rows, "e long, d long, v double")
+        want = sorted((a, b, round(s, 9), r) for a, b, s, r in _brute_sparse(rows, 6))
+        assert _canon(blocks.sparse_topk(df, "e", "d", "v", 6, block_rows=8).toPandas()) == want
+        assert _canon(blocks.sparse_topk(df, "e", "d", "v", 6, block_rows=8, max_task_rows=300).toPandas()) == want
