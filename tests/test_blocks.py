@@ -138,7 +138,7 @@ def test_sparse_lists_go_to_their_entities_only(spark, monkeypatch):
     def refuse(*args):
         raise AssertionError("rows copied to every block pair")
 
-    monkeypatch.setattr(blocks, "to_block_pairs", refuse)
+    monkeypatch.setattr(blocks, "to_block_pairs", refuse, raising=False)
     monkeypatch.setattr(blocks, "LIST_ROWS", 8)
     rng = np.random.default_rng(11)
     for values in (rng.integers(1, 6, 700), rng.normal(size=700)):
@@ -149,3 +149,32 @@ def test_sparse_lists_go_to_their_entities_only(spark, monkeypatch):
         want = sorted((a, b, round(s, 9), r) for a, b, s, r in _brute_sparse(rows, 6))
         assert _canon(blocks.sparse_topk(df, "e", "d", "v", 6, block_rows=8).toPandas()) == want
         assert _canon(blocks.sparse_topk(df, "e", "d", "v", 6, block_rows=8, max_task_rows=300).toPandas()) == want
+
+
+def test_dense_rows_go_to_few_panels(spark, monkeypatch):
+    """A table of many blocks is copied for a few panels only; several panels,
+    tiles and a long category, nulls, a zero row and equal rows included."""
+    def refuse(*args):
+        raise AssertionError("rows copied to every block pair")
+
+    monkeypatch.setattr(blocks, "to_block_pairs", refuse, raising=False)
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(700, 3))
+    X[:30] = X[0]
+    X[40] = 0
+    c = [None if i % 9 == 0 else f"c{i % 4}" for i in range(700)]
+    d = [None if i == 40 else f"d{i % 300}" for i in range(700)]
+    c[40] = None
+    df = spark.createDataFrame([(i, *map(float, X[i]), c[i], d[i]) for i in range(700)], "id long, x double, y double, z double, c string, d string")
+    same = np.array([[float((c[i] is not None and c[i] == c[j]) + (d[i] is not None and d[i] == d[j])) for j in range(700)] for i in range(700)])
+    dot = X @ X.T + same
+    with np.errstate(invalid="ignore"):
+        dist = np.round(2 * (1 - dot / np.sqrt(np.outer(np.diag(dot), np.diag(dot)))), 9)
+    np.fill_diagonal(dist, np.inf)
+    want = {i: [j for _, j in sorted((v, j) for j, v in enumerate(dist[i]) if np.isfinite(v))[:12]] for i in range(700)}
+    for block_rows, tile in ((2048, (256, 4096)), (1, (16, 32))):
+        monkeypatch.setattr(blocks, "TILE", tile)
+        r = blocks.dense_topk(df, "id", ["x", "y", "z"], ["c", "d"], 12, block_rows=block_rows).toPandas().sort_values(["e1", "rank"])
+        got = r.groupby("e1")["e2"].apply(list).to_dict()
+        assert got == {i: w for i, w in want.items() if w}
+    assert blocks._panel_counts(spark, 1_200_000, 10, 2048) == (19, 3)   # 586 copies of a row before
