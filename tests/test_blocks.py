@@ -178,3 +178,30 @@ def test_dense_rows_go_to_few_panels(spark, monkeypatch):
         got = r.groupby("e1")["e2"].apply(list).to_dict()
         assert got == {i: w for i, w in want.items() if w}
     assert blocks._panel_counts(spark, 1_200_000, 10, 2048) == (19, 3)   # 586 copies of a row before
+
+
+def test_bipartite_tiles_and_few_panels(spark, monkeypatch):
+    """Left and right rows have few copies; equal scores, a zero row, and pairs
+    excluded in every tile."""
+    rng = np.random.default_rng(6)
+    U, V = rng.normal(size=(60, 4)), rng.normal(size=(500, 4)) * rng.exponential(size=(500, 1))
+    V[100:120] = V[100]
+    U[7] = 0
+    left = spark.createDataFrame([(i, U[i].tolist()) for i in range(60)], "id long, v array<double>")
+    right = spark.createDataFrame([(j, V[j].tolist()) for j in range(500)], "id long, v array<double>")
+    ex = [(i, j) for i in range(60) for j in range(500) if (i * j) % 3 == 0] + [(3, j) for j in range(500)]
+    S = np.einsum("ik,jk->ij", U, V)
+    for i, j in ex:
+        S[i, j] = -np.inf
+    for block_rows, tile in ((2048, (256, 4096)), (1, (8, 32))):
+        monkeypatch.setattr(blocks, "TILE", tile)
+        r = blocks.bipartite_topk(left, right, "id", "v", 9, exclude=spark.createDataFrame(ex, "l long, r long"), block_rows=block_rows).toPandas()
+        for i in range(60):
+            want = [j for j in np.argsort(-np.round(S[i], 12), kind="stable")[:9] if np.isfinite(S[i, j])]
+            assert list(r[r.l == i].sort_values("rank").r) == want, i
+    monkeypatch.undo()
+    copies = []
+    known = blocks._panel_counts
+    monkeypatch.setattr(blocks, "_panel_counts", lambda *a: copies.append(known(*a)) or copies[-1])
+    blocks.bipartite_topk(left, right, "id", "v", 9, n_left=900_000, n_right=1_200_000)
+    assert copies[0][0] <= 14                        # 440 copies of a right row before
