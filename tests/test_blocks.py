@@ -205,3 +205,33 @@ def test_bipartite_tiles_and_few_panels(spark, monkeypatch):
     monkeypatch.setattr(blocks, "_panel_counts", lambda *a: copies.append(known(*a)) or copies[-1])
     blocks.bipartite_topk(left, right, "id", "v", 9, n_left=900_000, n_right=1_200_000)
     assert copies[0][0] <= 14                        # 440 copies of a right row before
+
+
+def test_seen_pairs_by_lists(spark, monkeypatch):
+    """Only rated pairs are predicted; hot dims in parts, hot entities over
+    several groups, both directions."""
+    from reco.operators import neighborhood as NB
+
+    def refuse(*args, **kw):
+        raise AssertionError("every user-item cell multiplied")
+
+    rng = np.random.default_rng(8)
+    r = {(int(u), int(i)): float(rng.integers(1, 6)) for u, i in zip(rng.integers(0, 30, 500), rng.integers(0, 40, 500))}
+    r.update({(u, 0): 3.0 for u in range(30)})
+    near = [(e, int(p), float(w)) for e in range(30) for p, w in zip(rng.choice(40, 8, replace=False), rng.normal(size=8)) if p != e]
+    near += near[:40]                                # neighbours listed twice count twice
+    ratings = spark.createDataFrame([(u, i, v) for (u, i), v in r.items()], "user_id long, item_id long, rating double")
+    neighbours = spark.createDataFrame(near, "e1 long, e2 long, weight double")
+    monkeypatch.setattr(blocks, "sparse_product", refuse)
+    for by in ("item", "user"):
+        errors = []
+        for (u, i), v in r.items():
+            e = i if by == "item" else u
+            found = [(w, r[(u, p) if by == "item" else (p, i)]) for e1, p, w in near if e1 == e and ((u, p) if by == "item" else (p, i)) in r]
+            num, den = sum(w * x for w, x in found), sum(abs(w) for w, _ in found)
+            if num > 0:
+                errors.append(abs(num / den - v))
+        for rows in (4096, 6):
+            monkeypatch.setattr(blocks, "LIST_ROWS", rows)
+            got = NB.knn_mae(neighbours, ratings, by, max_task_rows=200 if rows == 6 else 4_000_000).first()
+            assert got.n_pairs == len(errors) and abs(got.mae - np.mean(errors)) < 1e-9
