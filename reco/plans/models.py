@@ -20,7 +20,7 @@ from reco.operators import interactions as IN
 from reco.operators import popularity as PO
 from reco.operators.forest import forest_neighbors
 from reco.plans.registry import SPLIT_SEED, Fx, query
-from reco.session import app_scratch_dir
+from reco.session import app_scratch_dir, ensure_checkpoint_dir
 from reco.sources import sinks as SK
 from reco import fixtures as fx
 
@@ -30,11 +30,13 @@ RUNS = [0, 1, 2, 3, 4]  # split seeds of M19's runs
 
 
 def _explicit_split(f: Fx):
-    return EV.hash_split(f.ratings, SPLIT_SEED, 80)
+    return EV.hash_split(f.ratings_once, SPLIT_SEED, 80)     # fit, scores and baseline read it
 
 
 def _implicit_splits(f: Fx, seed: int = 0):
-    train, val, test = IN.split3(IN.build_interactions(f.purchases_fine), seed)
+    ensure_checkpoint_dir(f.spark)
+    inter = IN.build_interactions(f.purchases_fine).checkpoint(eager=True)      # fit, scores and sums read it
+    train, val, test = IN.split3(inter, seed)
     return IN.confidence_transform(train), val, test
 
 

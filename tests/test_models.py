@@ -99,3 +99,18 @@ def test_distance_to_item_matches_engine(spark):
     sim = content_similarity(f.catalog, top_k=None).filter(f"item1 = {ref}").collect()
     assert sim and all(abs(d[r.item2] - r.score) < 1e-9 for r in sim)
     assert abs(d[ref]) < 1e-9
+
+
+def test_splits_come_from_one_pass_over_the_lines(spark, tmp_path):
+    """Train, test and validation read the worked-out pairs, not the lines again."""
+    from reco.plans import models
+    from reco.plans.registry import Fx
+    spark.createDataFrame([(o, p, 1, 10.0 * (1 + (o + p) % 5)) for o in range(20) for p in range(5)],
+                          "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    (spark.range(20).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "timestamp '1999-01-01' AS o_orderdate")
+     .write.parquet(f"{tmp_path}/orders.parquet"))
+    f = Fx(spark, str(tmp_path))
+    explicit, implicit = models._explicit_split(f), models._implicit_splits(f)
+    for d in (*explicit, *implicit):
+        assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
+    assert sum(d.count() for d in explicit) == sum(d.count() for d in implicit) == 35
