@@ -81,3 +81,25 @@ def test_jobs_follow_the_levels_not_the_users(spark):
 def test_no_rows(spark):
     res = UT.per_user_trees(spark.createDataFrame([], SCHEMA))
     assert res["per_user"].count() == 0 and res["splits"].count() == 0
+
+
+@pytest.mark.parametrize("max_depth", [UT.MAX_DEPTH, 3])
+def test_chunks_and_levels_grow_the_same_trees(spark, monkeypatch, max_depth):
+    """Users dealt whole need no job a level, and end in the nodes, splits and
+    votes of those grown by levels; nulls, rows listed twice, several chunks."""
+    rows = some_rows({u: 1 + 9 * u for u in range(9)}, seed=4)
+    rows += rows[:20] + [(20, i, None if i % 5 == 0 else i % 2, ["0001", None, f"{i % 3:04d}", "0002", "0003", "a", None if i % 2 else "b", "é"], i % 4 == 3)
+                         for i in range(12)] + [(21, i, None, ["0001"] * 5 + ["a"] * 3, i == 1) for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(UT, "CHUNK_ROWS", 60)
+
+    def found(pair):
+        ended, splits = pair
+        return (sorted(map(str, ended.select("user_id", "item_id", "label", "test", "node", "prediction").collect())),
+                sorted((r.user_id, r.node, r.feature, str(r.value), round(r.gain, 9)) for r in splits.collect()))
+
+    levels = found(UT.grow_by_levels(df, max_depth))
+    assert found(UT.grow(df, max_depth, chunk=40)) == levels     # some of either kind
+    with monkeypatch.context() as m:
+        m.setattr(UT, "grow_by_levels", None)
+        assert found(UT.grow(df, max_depth)) == levels and levels[1]
