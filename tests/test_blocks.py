@@ -235,3 +235,18 @@ def test_seen_pairs_by_lists(spark, monkeypatch):
             monkeypatch.setattr(blocks, "LIST_ROWS", rows)
             got = NB.knn_mae(neighbours, ratings, by, max_task_rows=200 if rows == 6 else 4_000_000).first()
             assert got.n_pairs == len(errors) and abs(got.mae - np.mean(errors)) < 1e-9
+
+
+def test_sparse_topk_in_passes(spark):
+    """Co-occurrences past a pass's share are worked out entity by entity in
+    several stored passes: the same rows, hot dims and entities included, and
+    the shuffle of a pass is gone when the next begins."""
+    rng = np.random.default_rng(11)
+    rows = sorted({(int(e), int(d)) for e, d in zip(rng.integers(0, 90, 900), np.minimum(rng.integers(0, 60, 900), 40))})
+    df = spark.createDataFrame([(e, d, float((e * 7 + d) % 5 + 1)) for e, d in rows], "e long, d long, v double")
+    want = _canon(blocks.sparse_topk(df, "e", "d", "v", 5, block_rows=8).toPandas())
+    assert len(want) > 300
+    for options in ({}, {"max_task_rows": 400}, {"force_dim_slices": 2}):
+        in_passes = blocks.sparse_topk(df, "e", "d", "v", 5, block_rows=8, pass_rows=3000, **options)
+        assert len(in_passes.inputFiles()) > 1 and not any("Exchange" in s for s in in_passes._jdf.queryExecution().executedPlan().toString().split())
+        assert _canon(in_passes.toPandas()) == want
