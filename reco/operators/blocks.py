@@ -422,35 +422,43 @@ def _with_lists(entries: DataFrame, by_dim: DataFrame, lists: dict[str, str], pa
 
 
 def seen_products(neighbors: DataFrame, known: DataFrame, max_task_rows: int = 4_000_000,
-                  force_dim_slices: int | None = None) -> DataFrame:
+                  force_dim_slices: int | None = None, pass_rows: int | None = None) -> DataFrame:
     """For every known (e, d, a): pred = sum w * a' / sum |w| over the neighbours
     p of e (``neighbors``: e, p, w) with a known (p, d, a'), where the numerator
     is positive.  Each dim's list goes to the entities on it, and an entity's
     neighbours are looked up in them; an entity with too many co-occurrences is spread over
-    groups by dim.  Returns (e, d, pred, a)."""
+    groups by dim.  Past ``pass_rows`` co-occurrences the entities are taken in
+    passes (``sparse_topk``).  Returns (e, d, pred, a)."""
     spark = known.sparkSession
-    from reco.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
     base = known.select(F.col("e").cast("long").alias("_e"), F.col("d").cast("long").alias("_d"), F.col("a").cast("double").alias("_v"))
-    by_dim = base.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)
+    by_dim = stored(base.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")), "dims")
     budget = max(1, max_task_rows // 4)
-    work = (base.join(by_dim, "_d").groupBy("_e").agg(F.sum("_n").alias("_work"))
-            .withColumn("_salts", F.greatest(F.ceil(F.col("_work") / budget), F.lit(force_dim_slices or 1)).cast("int")).checkpoint(eager=True))
+    work = stored(base.join(by_dim, "_d").groupBy("_e").agg(F.sum("_n").alias("_work"))
+                  .withColumn("_salts", F.greatest(F.ceil(F.col("_work") / budget), F.lit(force_dim_slices or 1)).cast("int")), "work")
     ws = work.agg(F.count(F.lit(1)).alias("n"), F.sum("_work").alias("all"), F.max(F.abs("_e")).alias("e")).first()
     if not ws["n"]:
         return spark.createDataFrame([], "e long, d long, pred double, a double")
     par = max(1, spark.sparkContext.defaultParallelism)
-    nb = max(math.ceil(int(ws["all"]) / budget), math.ceil(int(ws["n"]) / 2048), min(2 * par, math.ceil(int(ws["n"]) / MIN_BLOCK_ROWS)))
+    passes = passes_for(spark, int(ws["all"]), pass_rows or PASS_ROWS)
+    total, n_ent = math.ceil(int(ws["all"]) / passes), math.ceil(int(ws["n"]) / passes)      # of a pass
+    nb = max(math.ceil(total / budget), math.ceil(n_ent / 2048), min(2 * par, math.ceil(n_ent / MIN_BLOCK_ROWS)))
     id_type = "int" if ws["e"] < 2 ** 31 else "long"
     salts = work.select("_e", "_salts")
     entries = base.join(salts, "_e").select("_d", F.col("_e").cast(id_type).alias("_e"), "_v", F.coalesce("_v", F.lit(float("nan"))).alias("_x"),
                                                  F.pmod(F.xxhash64("_d"), F.col("_salts")).cast("int").alias("_s"))
-    rows = _with_lists(entries, by_dim, {"_e": "es", "_x": "vs"}).select(
-        F.lit(0).alias("_side"), F.col("_e").cast("long").alias("_e"), "_s", "_d", "_part", "_v", F.col("es").cast("array<long>").alias("es"), "vs")
-    lists = (neighbors.select(F.col("e").cast("long").alias("_e"), F.struct(F.col("p").cast("long").alias("p"), F.col("w").cast("double").alias("w")).alias("x"))
-             .groupBy("_e").agg(F.collect_list("x").alias("l")).join(salts, "_e")
-             .select(F.lit(1).alias("_side"), "_e", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_s"), F.lit(None).cast("long").alias("_d"),
-                     F.lit(None).cast("int").alias("_part"), F.lit(None).cast("double").alias("_v"), F.col("l.p").alias("es"), F.col("l.w").alias("vs")))
+    with_lists = _with_lists(entries, by_dim, {"_e": "es", "_x": "vs"}, passes)
+    near = neighbors.select(F.col("e").cast("long").alias("_e"), F.struct(F.col("p").cast("long").alias("p"), F.col("w").cast("double").alias("w")).alias("x"))
+    if passes > 1:
+        near = stored(near, "neighbours")
+
+    def both(i: int) -> DataFrame:
+        far = (with_lists(i) if passes > 1 else with_lists).select(
+            F.lit(0).alias("_side"), F.col("_e").cast("long").alias("_e"), "_s", "_d", "_part", "_v", F.col("es").cast("array<long>").alias("es"), "vs")
+        mine = near.filter(in_pass(F.col("_e"), passes, i)) if passes > 1 else near
+        return far.unionByName(
+            mine.groupBy("_e").agg(F.collect_list("x").alias("l")).join(salts, "_e")
+            .select(F.lit(1).alias("_side"), "_e", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_s"), F.lit(None).cast("long").alias("_d"),
+                    F.lit(None).cast("int").alias("_part"), F.lit(None).cast("double").alias("_v"), F.col("l.p").alias("es"), F.col("l.w").alias("vs")))
 
     def sums(table):
         import pyarrow as pa
@@ -484,12 +492,17 @@ def seen_products(neighbors: DataFrame, known: DataFrame, max_task_rows: int = 4
         return pa.table({"e": pa.array(fe[some], "int64"), "d": far.column("_d").combine_chunks().take(some).cast("int64"),
                          "a": far.column("_v").combine_chunks().take(some), "num": pa.array(num[some], "float64"), "den": pa.array(den[some], "float64")})
 
-    parts = max(par, min(nb, math.ceil(int(ws["all"]) / 4_000_000)))
-    out = (rows.unionByName(lists).withColumn("_b", block_of("_e", nb)).repartition(parts, "_b", "_s").groupBy("_b", "_s")
-           .applyInArrow(sums, "e long, d long, a double, num double, den double"))
-    if by_dim.filter(F.col("_n") > LIST_ROWS).limit(1).count():
-        out = out.groupBy("e", "d", "a").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    return out.filter((F.col("num") > 0) & ~F.isnan("num")).select("e", "d", (F.col("num") / F.col("den")).alias("pred"), "a")
+    parts = max(par, min(nb, math.ceil(total / 4_000_000)))
+    in_parts = by_dim.filter(F.col("_n") > LIST_ROWS).limit(1).count() > 0
+
+    def one(i: int) -> DataFrame:
+        out = (both(i).withColumn("_b", block_of("_e", nb)).repartition(parts, "_b", "_s").groupBy("_b", "_s")
+               .applyInArrow(sums, "e long, d long, a double, num double, den double"))
+        if in_parts:
+            out = out.groupBy("e", "d", "a").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+        return out.filter((F.col("num") > 0) & ~F.isnan("num")).select("e", "d", (F.col("num") / F.col("den")).alias("pred"), "a")
+
+    return each_pass(passes, one, "seen")
 
 
 def sparse_topk(long_df: DataFrame, entity: str, dim: str, value: str, k: int | None,

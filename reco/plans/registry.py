@@ -521,8 +521,8 @@ def _m4r(f: Fx):
 @query("m4_content_knn_mae", cte("catalog", "ratings", extra=_M4_CTES) + _MAE_SQL)
 def _m4e(f: Fx):
     """M4 + J9 + A12: MAE of content kNN on already-rated pairs."""
-    nb, by = NB.neighbors_for("content", f.ratings_once, f.catalog, CONTENT_K)
-    return NB.knn_mae(nb, f.ratings_once, by)
+    nb, by = NB.neighbors_for("content", f.ratings_stored, f.catalog, CONTENT_K)
+    return NB.knn_mae(nb, f.ratings_stored, by)
 
 
 def _knn_recs(f: Fx, kind: str) -> DataFrame:

@@ -250,3 +250,20 @@ def test_sparse_topk_in_passes(spark):
         in_passes = blocks.sparse_topk(df, "e", "d", "v", 5, block_rows=8, pass_rows=3000, **options)
         assert len(in_passes.inputFiles()) > 1 and not any("Exchange" in s for s in in_passes._jdf.queryExecution().executedPlan().toString().split())
         assert _canon(in_passes.toPandas()) == want
+
+
+def test_seen_products_in_passes(spark):
+    """The predictions of rated pairs are the same in several stored passes."""
+    rng = np.random.default_rng(12)
+    known = sorted({(int(e), int(d)) for e, d in zip(rng.integers(0, 60, 700), np.minimum(rng.integers(0, 50, 700), 35))})
+    df = spark.createDataFrame([(e, d, float((e * 5 + d) % 5 + 1)) for e, d in known], "e long, d long, a double")
+    near = spark.createDataFrame([(e, p, float((e + 3 * p) % 7 - 1) / 4) for e in range(60) for p in rng.choice(60, 9, replace=False).tolist()], "e long, p long, w double")
+
+    def canon(out):
+        return sorted((r.e, r.d, r.a, round(r.pred, 12)) for r in out.collect())
+
+    want = canon(blocks.seen_products(near, df))
+    assert len(want) > 200
+    for options in ({}, {"force_dim_slices": 3}, {"max_task_rows": 600}):
+        got = blocks.seen_products(near, df, pass_rows=2500, **options)
+        assert len(got.inputFiles()) > 1 and canon(got) == want
